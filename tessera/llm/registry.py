@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op10_bpe
 from tessera.llm.packing import op3_packing
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
