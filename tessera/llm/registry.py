@@ -5,14 +5,17 @@ from __future__ import annotations
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.media import op1_media
 from tessera.llm.packing import op3_packing
+from tessera.llm.topk import OP6_SQL, op6_topk
 from tessera.llm.urlfilter import OP5_SQL, op5_urls
 
 QUERIES = {
     "op1_media": op1_media,
     "op3_packing": op3_packing,
     "op5_urls": op5_urls,
+    "op6_topk": op6_topk,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op5_urls": OP5_SQL,
+    "op6_topk": OP6_SQL,
 }
