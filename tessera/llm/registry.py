@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op10_bpe
+from tessera.llm.jaccard import op2_jaccard
 from tessera.llm.language import op8_language
 from tessera.llm.media import op1_media
 from tessera.llm.packing import op3_packing
@@ -12,6 +13,7 @@ from tessera.llm.urlfilter import OP5_SQL, op5_urls
 QUERIES = {
     "op1_media": op1_media,
     "op3_packing": op3_packing,
+    "op2_jaccard": op2_jaccard,
     "op5_urls": op5_urls,
     "op6_topk": op6_topk,
     "op8_language": op8_language,
