@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.jaccard import op2_jaccard
 from tessera.llm.language import op8_language
+from tessera.llm.linededup import op9_lines
 from tessera.llm.media import op1_media
 from tessera.llm.packing import op3_packing
 from tessera.llm.topk import OP6_SQL, op6_topk
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_urls": op5_urls,
     "op6_topk": op6_topk,
     "op8_language": op8_language,
+    "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
