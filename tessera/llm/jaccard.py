@@ -38,7 +38,7 @@ from tessera.llm.textkernel import shingle_sets, slices, text_buffers
 WORDS, PERCENT = 5, 80
 #: Documents in a block; a component of more is cut into blocks of half that.
 BLOCK = 1024
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _LOCAL = 0xFFFF
 
 

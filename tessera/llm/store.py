@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +25,24 @@ def scratch(spark: SparkSession) -> str:
 
 
 def materialise(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the frame as Parquet in the shared folder and reads it again: lineage is cut and a lost executor loses nothing.
-
-    Shuffle files of finished steps go when the driver collects its garbage, so that is asked for here.
-    """
+    """Writes the frame as Parquet in the shared folder and reads it again: lineage is cut and a lost executor loses nothing."""
     spark = frame.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     schema = frame.schema
     del frame
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded(spark: SparkSession, megabytes: int = 8) -> None:
+def release(spark: SparkSession) -> None:
+    """Lets shuffle files of finished steps go: they do when the driver has collected its garbage, twice."""
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+def bounded(spark: SparkSession, megabytes: int = 4) -> None:
     """Keeps the Arrow batches that go to Python at `megabytes`, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
