@@ -180,7 +180,7 @@ def interval_lookup(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT user_id, ts, event_id, (epoch_ms(ts) // 1000)::BIGINT AS s, ((epoch_ms(ts) // 1000) + (value * 100)::BIGINT % 7000 - 100)::BIGINT AS e FROM events),
+WITH c AS (SELECT user_id, ts, event_id, (epoch_us(ts) // 1000000)::BIGINT AS s, ((epoch_ms(ts) // 1000) + (value * 100)::BIGINT % 7000 - 100)::BIGINT AS e FROM events),
 f AS (SELECT user_id, e < s AS r, e = s AS z, s < lag(e) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM c)
 SELECT user_id, count(*) FILTER (r) AS reversed, count(*) FILTER (z) AS empty, count(*) FILTER (o) AS overlapping FROM f GROUP BY 1""")
 def overlap_counts(spark, sf_dir):
@@ -190,7 +190,7 @@ def overlap_counts(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT user_id, event_id, epoch_ms(ts) AS start_ms, CASE WHEN event_id % 2 = 0 THEN event_id % 5000 END AS d FROM events)
+WITH c AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS start_ms, CASE WHEN event_id % 2 = 0 THEN event_id % 5000 END AS d FROM events)
 SELECT user_id, event_id, start_ms, greatest(coalesce(start_ms + d, lead(start_ms) OVER (PARTITION BY user_id ORDER BY start_ms, event_id), start_ms + 2000), start_ms + 1) AS end_ms FROM c""")
 def cue_ends(spark, sf_dir):
     cues = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 5000).alias("d"))
