@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import graph, store
-from tessera.llm.textkernel import shingle_sets, slices, text_buffers
+from tessera.llm.textkernel import distinct, shingle_sets, slices, text_buffers
 
 WORDS, PERCENT = 5, 80
 #: Documents in a block; a component of more is cut into blocks of half that.
@@ -73,7 +73,7 @@ def _screen(docs: DataFrame, parts: int, words: int) -> DataFrame:
         for batch in slices(batches, "text", _SLICE):
             ids, sets = _sets_of(batch, words)
             hashes, doc = _flat(sets)
-            order = np.argsort(hashes, kind="stable")
+            order = np.argsort(hashes)
             ranked = hashes[order]
             first = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
             single = first & np.concatenate((first[1:], [True])) if len(ranked) else first
@@ -93,7 +93,7 @@ def _screen(docs: DataFrame, parts: int, words: int) -> DataFrame:
         asked = [r for r in rows if r["keys"] is not None]
         out = [(r["slice"], r["ids"], r["n"], r["digests"], r["base"], None) for r in rows if r["keys"] is None]
         keys = np.concatenate([*(np.frombuffer(r["keys"], np.uint32) for r in asked), np.zeros(0, np.uint32)])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         ranked = keys[order]
         same = ranked[1:] == ranked[:-1]
         many = np.zeros(len(keys), dtype=bool)
@@ -174,7 +174,7 @@ def _prefix_keys(packed: DataFrame, parts: int, percent: int) -> DataFrame:
         for row in rows.to_pylist():
             ids, at, hashes = _unpacked(row)
             level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x["levels"], np.uint8) for x in sorted(levels.to_pylist(), key=lambda x: x["part"]))])
-            of = level[np.searchsorted(np.unique(hashes), hashes)] if len(hashes) else level
+            of = level[np.searchsorted(distinct(hashes), hashes)] if len(hashes) else level
             keys, owners = [], []
             for k in range(len(ids)):
                 own, rank = hashes[at[k] : at[k + 1]], of[at[k] : at[k + 1]]
@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     screened = store.materialise(_screen(docs, parts, words), "screened")
     classes = screened.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
     likely = store.materialise(classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100)).select(F.col("rep").alias("doc_id"), "digest", "n"), "likely")
-    packed = store.materialise(_pack(docs.join(likely.select("doc_id", "digest"), "doc_id"), words), "packed")
+    # the list of likely documents grows with the corpus: never broadcast
+    packed = store.materialise(_pack(docs.join(likely.select("doc_id", "digest").hint("merge"), "doc_id"), words), "packed")
     roots = graph.components(store.materialise(graph.stars(_prefix_keys(packed, parts, percent)), "prefixes"))
     members = store.materialise(roots.join(likely.select(F.col("doc_id").alias("id"), "n"), "id"), "members")
     links = store.materialise(_links(packed, store.materialise(_dealt(members, percent), "dealt"), percent), "links")

@@ -29,7 +29,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def scatter(x: np.ndarray) -> np.ndarray:
+    """One round of mixing, in place: enough for polynomial hashes of short spans, at a third of mix's cost."""
+    x ^= x >> U64(32)
+    x *= U64(0x9E3779B97F4A7C15)
+    x ^= x >> U64(29)
+    return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct elements, sorted: by sorting, which is far faster here than the hashing that np.unique does."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 _byte_value = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Values of the bytes as they are, and with A-Z lower-cased.
+exact_value = _byte_value.copy()
 _byte_value[65:91] = _byte_value[97:123]
 _BASE = U64(0x9DDFEA08EB382D69)
 _BASE_INVERSE = U64(pow(0x9DDFEA08EB382D69, -1, 1 << 64))
@@ -46,6 +62,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return _power_tables(n)[1][:n]
+
+
 def prefix_hash(data: np.ndarray, values: np.ndarray = _byte_value) -> np.ndarray:
     """S with S[j] - S[i] = sum of value(data[k]) * BASE**k for i <= k < j, modulo 2**64."""
     power, _ = _power_tables(len(data))
@@ -125,8 +145,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = 5) -> list[np.nda
     for i, n in enumerate(count.tolist()):
         a = int(first[i])
         if n >= size:
-            found = np.sort(joint[a : a + n - size + 1])
-            out.append(found[np.concatenate(([True], found[1:] != found[:-1]))])
+            out.append(distinct(joint[a : a + n - size + 1]))
         elif n:
             x = U64(n)
             with np.errstate(over="ignore"):
