@@ -38,7 +38,7 @@ class _Yaml:
     def __init__(self, text: str):
         text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
         self.lines: list[tuple[int, str]] = []  # indent and text; blank lines keep indent -1
-        for k, line in enumerate(text.split("\n"), 1):
+        for k, line in enumerate(text.removesuffix("\n").split("\n"), 1):
             body = line.lstrip(" ")
             if body.startswith("\t") and body.strip():
                 raise FormatError(f"line {k}: a tab can't indent")
