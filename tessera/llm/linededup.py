@@ -8,7 +8,7 @@
    more links), so a bucket of any size costs one comparison a line.
 4. Distributed union-find joins the links. Of a component's places (doc_id, line number) the smallest stays, all others go.
 
-Lines end with U+000A. Blank lines are no lines here and stay. Null text stays null, empty text empty. Rows with equal doc_id
+Lines end with U+000A. Blank lines (of U+0020 and U+0009 to U+000D) are no lines here and stay. Null text stays null, empty text empty. Rows with equal doc_id
 and text count as one document: they keep the same lines. A doc_id that is null takes part like a value of its own and sorts
 first. Very long texts and lines are taken whole. An empty table gives an empty result. Other columns are kept as they are.
 """
@@ -19,61 +19,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import graph, store
-from tessera.llm.textkernel import U64, _power_tables, mix, slices, span_hash, text_buffers
+from tessera.llm.textkernel import U64, distinct, exact_value, inverse_powers, mix, prefix_hash, scatter, slices, span_hash, text_buffers
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
+#: Stands for an empty bin; the one hash in 2**32 that equals it counts as empty too.
 _EMPTY = np.uint32(0xFFFFFFFF)
-#: Unicode's white space (fixed values).
-_SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_BLANK = np.zeros(0x3001, dtype=bool)
+_SPACES = " \t\n\x0b\x0c\r"
+_BLANK = np.zeros(256, dtype=bool)
 _BLANK[[*map(ord, _SPACES)]] = True
-_value = np.zeros(0, dtype=U64)
 
 
 class Lines:
-    """The lines of a batch of texts, as spans of its characters."""
+    """The lines of a batch of texts, as spans of its bytes."""
 
     def __init__(self, texts: pa.Array):
-        global _value
-        if not len(_value):
-            _value = mix(np.arange(1, 0x110001, dtype=U64) * U64(0x9E3779B97F4A7C15))
         data, at = text_buffers(texts)
-        self.codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        char_at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[at]
-        n = len(self.codes)
-        power, _ = _power_tables(n)
-        self.prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_value[self.codes] * power[:n], out=self.prefix[1:])
-        breaks = np.flatnonzero(self.codes == 10)
+        self.data, self.at = data, at
+        self.prefix = prefix_hash(data, exact_value)
+        breaks = np.flatnonzero(data == 10)
         # every document has one line more than breaks; a document's end is a line's end
-        self.doc = np.sort(np.concatenate([np.searchsorted(char_at, breaks, side="right") - 1, np.arange(len(at) - 1)]))
-        self.start = np.sort(np.concatenate([breaks + 1, char_at[:-1]]))
-        self.end = np.sort(np.concatenate([breaks, char_at[1:]]))
+        self.doc = np.sort(np.concatenate([np.searchsorted(at, breaks, side="right") - 1, np.arange(len(at) - 1)]))
+        self.start = np.sort(np.concatenate([breaks + 1, at[:-1]]))
+        self.end = np.sort(np.concatenate([breaks, at[1:]]))
         first = np.searchsorted(self.doc, np.arange(len(at) - 1))
         self.number = np.arange(len(self.doc)) - first[self.doc]
-        seen = np.concatenate(([0], np.cumsum(~_BLANK[np.minimum(self.codes, 0x3000)] | (self.codes > 0x3000))))
-        self.blank = seen[self.end] == seen[self.start]
+        self.blank = self.start == self.end
+        for k in np.flatnonzero(~self.blank & _BLANK[data[np.minimum(self.start, len(data) - 1)]]).tolist() if len(data) else ():
+            self.blank[k] = _BLANK[data[self.start[k] : self.end[k]]].all()
         self.id = span_hash(self.prefix, self.start, self.end).view(np.int64)
 
-    def shingles(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles of the chosen lines, with repeats, and the place of each one's line among the chosen."""
-        start, end = self.start[lines], self.end[lines]
-        count = np.maximum(1, end - start - SHINGLE + 1)
-        owner = np.repeat(np.arange(len(lines)), count)
-        a = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return span_hash(self.prefix, a, np.minimum(a + SHINGLE, end[owner])), owner
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles of all lines, with repeats, and the line of each: SHINGLE characters in a row, or a shorter line."""
+        data, n = self.data, len(self.data)
+        heads = (data & 0xC0) != 0x80
+        if heads.all():
+            prefix, inverse, start, end = self.prefix, inverse_powers(n), self.start, self.end
+        else:
+            # from bytes to characters: only their first bytes count
+            rank = np.zeros(n + 1, dtype=np.int64)
+            np.cumsum(heads, out=rank[1:])
+            place = np.append(np.flatnonzero(heads), n)
+            prefix, inverse = self.prefix[place], inverse_powers(n)[place[:-1]]
+            start, end = rank[self.start], rank[self.end]
+        size = end - start
+        count = np.maximum(0, size - SHINGLE + 1)
+        # the places, among all characters, where a shingle begins: a line's first ones
+        edge = np.zeros(len(prefix) + 1, dtype=np.int8)
+        np.add.at(edge, start[count > 0], 1)
+        np.add.at(edge, (start + count)[count > 0], -1)
+        begins = np.cumsum(edge[: max(0, len(prefix) - SHINGLE)], dtype=np.int8).view(bool)
+        hashes = scatter(((prefix[SHINGLE:] - prefix[:-SHINGLE])[: len(begins)] * inverse[: len(begins)])[begins]) if len(begins) else np.zeros(0, U64)
+        owner = np.repeat(np.arange(len(start)), count)
+        short = np.flatnonzero((size > 0) & (count == 0))
+        return np.concatenate([hashes, self.id[short].view(U64)]), np.concatenate([owner, short])
 
 
 def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """BANDS keys for each of n sets, from hashes and the set of each."""
     found = np.full(n * BINS, _EMPTY)
-    np.minimum.at(found, owner * BINS + ((hashes >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64), np.minimum(hashes & U64(0xFFFFFFFF), U64(0xFFFFFFFE)).astype(np.uint32))
+    place = (hashes >> U64(32)) * U64(BINS)
+    place >>= U64(32)
+    place += (owner * BINS).view(U64)
+    np.minimum.at(found, place.view(np.int64), hashes.astype(np.uint32))
     full = found.reshape(n, BINS).astype(U64)
     row, column = np.nonzero(full == U64(_EMPTY))
     original = full.copy()
@@ -105,12 +119,18 @@ def _places(docs: DataFrame) -> DataFrame:
 def _bands(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            lines = Lines(batch.column(1))
-            keep = np.flatnonzero(~lines.blank)
-            ids, first = np.unique(lines.id[keep], return_index=True)
-            if len(ids):
-                keys = band_keys(*lines.shingles(keep[first]), len(ids))
-                yield graph.star_batch([*graph.star_keys(keys.ravel(), np.repeat(ids, BANDS), parts)])
+            keys, ids = [], []
+            # texts of ASCII only need no step from bytes to characters, so they go by themselves
+            plain = pc.fill_null(pc.string_is_ascii(batch.column(1)), True)
+            for piece in slices([batch.filter(plain), batch.filter(pc.invert(plain))], "text", 1 << 18):
+                lines = Lines(piece.column(1))
+                keep = np.flatnonzero(~lines.blank)
+                if len(keep):
+                    own, first = np.unique(lines.id[keep], return_index=True)
+                    keys.append(band_keys(*lines.shingles(), len(lines.id))[keep[first]])
+                    ids.append(own)
+            if keys:
+                yield graph.star_batch([*graph.star_keys(np.concatenate(keys).ravel(), np.repeat(np.concatenate(ids), BANDS), parts)])
 
     return docs.mapInArrow(run, graph.STAR_KEYS)
 
@@ -130,10 +150,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sound = at < first[doc + 1]
             at, ids = at[sound], ids[sound]
             at, ids = at[lines.id[at] == ids], ids[lines.id[at] == ids]
-            text = [lines.codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(lines.start[at].tolist(), lines.end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text, pa.string())], names=["id", "text"])
+            text = [lines.data[s:e].tobytes() for s, e in zip(lines.start[at].tolist(), lines.end[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text, pa.binary()).cast(pa.string())], names=["id", "text"])
 
-    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"])).select("text", "wanted").mapInArrow(run, "id long, text string")
+    # the lists grow with the corpus: never broadcast
+    return docs.join(lists.hint("merge"), docs["doc_id"].eqNullSafe(lists["doc_id"])).select("text", "wanted").mapInArrow(run, "id long, text string")
 
 
 def similar(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
@@ -141,9 +162,8 @@ def similar(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
     n = len(a)
     sets = []
     for texts in (a, b):
-        lines = Lines(texts)
-        hashes, owner = lines.shingles(np.arange(n))
-        sets.append(np.unique((owner.astype(U64) << U64(44)) | (hashes >> U64(20))))
+        hashes, owner = Lines(texts).shingles()
+        sets.append(distinct((owner.astype(U64) << U64(44)) | (hashes >> U64(20))))
     both = np.sort(np.concatenate(sets))
     row = (both >> U64(44)).astype(np.int64)
     equal = np.bincount(row[1:][both[1:] == both[:-1]], minlength=n)
@@ -152,12 +172,12 @@ def similar(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "x", 2 << 20):
+        for batch in slices(batches, "x", 1 << 18):
             ok = pa.array(similar(batch.column(2), batch.column(3)))
             yield batch.select(["a", "b"]).filter(ok)
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -198,7 +218,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*schema.names, "n_lines", "n_dropped"])
 
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left")
     return joined.select(*(docs[f"`{x}`"] for x in schema.names), "_lines").mapInArrow(run, ddl)
 
 
