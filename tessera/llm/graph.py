@@ -84,10 +84,19 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(part, start, end) of the runs of a sorted array."""
-    start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return
+    start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     yield from zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(part)], strict=True)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    return a[first], b[first]
+
+
 STAR_KEYS = "part int, keys binary, ids binary, a binary, b binary"
 
 
@@ -98,10 +107,10 @@ def star_keys(keys: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple]:
     first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
     leader = ids[first][np.cumsum(first) - 1]
     differ = ids != leader
-    pairs = np.unique(np.stack([ids[differ], leader[differ]], axis=1), axis=0)
+    pairs = distinct_pairs(ids[differ], leader[differ])
     keys, ids = keys[first], ids[first]
     for k, (part, start, end) in enumerate(cuts(part_of(keys, parts))):
-        a, b = (pairs[:, 0], pairs[:, 1]) if not k else (pairs[:0, 0], pairs[:0, 1])
+        a, b = (x[: len(x) * (not k)] for x in pairs)
         yield part, (keys[start:end] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ids[start:end].tobytes(), a.tobytes(), b.tobytes()
 
 
@@ -120,9 +129,8 @@ def _meet(table: pa.Table) -> pa.Table:
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
     leader = ids[first][np.cumsum(first) - 1]
     differ = ids != leader
-    a, b = np.concatenate([ids[differ], joined("a", np.int64)]), np.concatenate([leader[differ], joined("b", np.int64)])
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    a, b = distinct_pairs(np.concatenate([ids[differ], joined("a", np.int64)]), np.concatenate([leader[differ], joined("b", np.int64)]))
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 def stars(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ a group's task holds the score lists of its vectors for a block of queries.
 Merging takes at most FAN groups' answers at a time, level by level. Blocks of queries meet all groups by an equi-join on the
 group number, so work is queries times vectors, as the contract asks, while no task holds more than a block and a group.
 
-Components are floor(64 * x) as whole numbers; float64 products are used where they are exact, else 64-bit integers. Vectors
+Components are floor(64 * x) as whole numbers; float64 products are used where they are exact, else 64-bit integers, which a score has
+to fit. Vectors
 that are null or hold null or non-finite components take no part, nor do rows without id; of rows with equal id the smallest
 vector counts. Vectors of unequal length are filled up with zeros. An empty table gives an empty result; other columns are ignored.
 """
