@@ -188,7 +188,10 @@ class _Yaml:
             elif self.lines[self.at][1].startswith("#"):
                 break
             else:
-                more.append(re.split(r"\s#", self.lines[self.at][1], maxsplit=1)[0].strip())
+                line = re.split(r"\s#", self.lines[self.at][1], maxsplit=1)[0].strip()
+                if re.search(r":(\s|$)", line):
+                    self.fail("a key can't stand within a text")
+                more.append(line)
             self.at += 1
         if more:
             return self.folded("\n".join([text, *("" if x == "\n" else x for x in more)]))
