@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import charset, config, csvtext, docparts, htmltext, markdown, sniff, sqldump, subtitles, tree, xmltext, yamltext
 from tessera.operators import audio
-from tessera.sources import archives, books, documents, imagemeta, sheets
+from tessera.sources import archives, books, documents, imagemeta, legacy, matroska, sheets
 
 #: Texts over this many bytes are refused, as whole files are parsed in memory.
 MOST_TEXT = 64 << 20
@@ -186,6 +186,11 @@ def convert_subtitle(data: bytes, name: str, target: str = "srt", source: str |
     return _one(target, subtitles.render_cues(cues, target), subtitles.cue_notes(cues, target))
 
 
+@kernel
+def extract_subtitles(data: bytes, name: str):
+    return _one("srt", subtitles.render_cues(matroska.read_subtitles(data), "srt"))
+
+
 @kernel
 def html_to_csv(data: bytes, name: str, delimiter: str = ",", eol: str = "lf"):
     found = htmltext.html_tables(_text(data))
@@ -250,11 +255,26 @@ def office_to_text(data: bytes, name: str):
     return KERNELS[f"{kind}_to_text"](data, name)
 
 
+@kernel
+def doc_to_text(data: bytes, name: str):
+    text, notes = legacy.read_doc(data)
+    return _one("txt", text, notes)
+
+
+@kernel
+def ppt_to_text(data: bytes, name: str):
+    text, notes = legacy.read_ppt(data)
+    return _one("txt", text, notes)
+
+
 # -- sheets -------------------------------------------------------------------------------------------------------------
 
 
+SHEET_READERS = {"xlsx": sheets.read_xlsx, "ods": sheets.read_ods, "xls": legacy.read_xls}
+
+
 def _sheets(source: str, data: bytes) -> tuple[list[sheets.Sheet], list[str]]:
-    found = sheets.read_xlsx(data) if source == "xlsx" else sheets.read_ods(data)
+    found = SHEET_READERS[source](data)
     filled = [s for s in found if s.rows]
     if not filled:
         raise tree.FormatError("every sheet is empty")
@@ -277,7 +297,7 @@ def _sheet_to(source: str, target: str) -> Kernel:
     return run
 
 
-for _a, _b in [("xlsx", "csv"), ("xlsx", "html"), ("xlsx", "markdown"), ("ods", "csv"), ("ods", "xlsx"), ("ods", "html")]:
+for _a, _b in [("xlsx", "csv"), ("xlsx", "html"), ("xlsx", "markdown"), ("ods", "csv"), ("ods", "xlsx"), ("ods", "html"), ("xls", "csv"), ("xls", "xlsx")]:
     KERNELS[f"{_a}_to_{_b}"] = _sheet_to(_a, _b)
 
 

@@ -23,11 +23,10 @@ _PIXELS, _FRAMES, _SOUND, _PDF = "needs a pixel codec", "needs a video codec", "
 #: Operations without a function, and why.
 UNSUPPORTED = {
     **dict.fromkeys(("convert_image", "compress_image", "image_watermark", "flip_image", "crop_image", "gif_watermark", "compress_gif", "gif_to_images", "images_to_gif"), _PIXELS),
-    **dict.fromkeys(("video_to_gif", "video_to_image", "convert_video", "video_merge", "video_crop", "video_watermark", "extract_subtitles"), _FRAMES),
+    **dict.fromkeys(("video_to_gif", "video_to_image", "convert_video", "video_merge", "video_crop", "video_watermark"), _FRAMES),
     **dict.fromkeys(("convert_audio", "extract_audio"), _SOUND),
     **dict.fromkeys(("images_to_pdf", "compress_pdf", "pdf_to_images", "encrypt_pdf", "pdf_metadata", "decrypt_pdf", "text_to_pdf", "crop_pdf_pages", "fill_pdf_form", "extract_pdf_images"), _PDF),
     **dict.fromkeys(("unpack_seven_z", "unpack_rar"), "needs an unpacker that isn't installed"),
-    **dict.fromkeys(("xls_to_csv", "xls_to_xlsx", "doc_to_text", "ppt_to_text"), "the binary office formats are not read yet"),
 }
 
 
