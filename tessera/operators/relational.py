@@ -150,11 +150,14 @@ def weighted_mode(rows: DataFrame, by: str, value: str, weight: str) -> DataFram
 
 
 def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """`upper_median`, the element at size / 2 of the sorted values, and `mean_median`, the mean of the middle two."""
-    v = F.array_sort(F.collect_list(value))
-    n = F.size("_v")
-    upper, lower = F.get("_v", F.floor(n / 2).cast("int")), F.get("_v", F.floor((n - 1) / 2).cast("int"))
-    return rows.groupBy(by).agg(v.alias("_v")).select(by, upper.alias("upper_median"), ((upper + lower) / 2).alias("mean_median"))
+    """`upper_median`, the element at size / 2 of the sorted values, and `mean_median`, the mean of the middle two.
+
+    Places come from a sort, which spills, so no group has to fit in memory. Nulls don't count."""
+    own = Window.partitionBy(by)
+    placed = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(own.orderBy(value)).alias("_k"), F.count("*").over(own).alias("_n"))
+    upper, lower = F.floor(F.col("_n") / 2) + 1, F.floor((F.col("_n") - 1) / 2) + 1
+    middle = placed.where((F.col("_k") == upper) | (F.col("_k") == lower))
+    return middle.groupBy(by).agg(F.max(value).alias("upper_median"), ((F.max(value) + F.min(value)) / 2).alias("mean_median"))
 
 
 # -- runs and intervals -----------------------------------------------------------------------------------------------
@@ -171,10 +174,22 @@ def previous(column: str, by: str, order: str) -> Column:
     return F.lag(column).over(Window.partitionBy(by).orderBy(order))
 
 
-def interval_lookup(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, ordinal: str, value: str) -> DataFrame:
-    """Each point with the value of the interval [start, end) that holds it, the last by `ordinal` where several do; null if none does."""
-    hits = points.join(intervals, (points[by] == intervals[by]) & (points[at] >= intervals[start]) & (points[at] < intervals[end]), "left")
-    return hits.groupBy(*(points[c] for c in points.columns)).agg(F.max_by(intervals[value], intervals[ordinal]).alias(value))
+def interval_lookup(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, ordinal: str, value: str, width: int = 3600) -> DataFrame:
+    """Each point with the value of the interval [start, end) that holds it, the last by `ordinal` where several do; null if none does.
+
+    Points and intervals meet by an equi-join on the key and a stretch of `width` seconds or units, so a key with many of both
+    doesn't multiply all of them. An interval counts once for each stretch that it touches."""
+
+    def stretch(c: Column, kind: str) -> Column:
+        number = F.unix_micros(c.cast("timestamp")) / 1_000_000 if kind.startswith("timestamp") else c.cast("double")
+        return F.floor(number / width)
+
+    kind = dict(intervals.dtypes)[start]
+    first, last = stretch(intervals[start], kind), stretch(intervals[end], kind)
+    spread = intervals.where(intervals[start] < intervals[end]).select(intervals[by].alias("_by"), intervals[start].alias("_s"), intervals[end].alias("_e"), intervals[ordinal].alias("_o"), intervals[value].alias("_v"), F.explode(F.sequence(first, last)).alias("_b"))
+    placed = points.withColumn("_b", stretch(points[at], dict(points.dtypes)[at]))
+    hits = placed.join(spread, (F.col(by) == F.col("_by")) & (placed["_b"] == spread["_b"]) & (F.col(at) >= F.col("_s")) & (F.col(at) < F.col("_e")), "left")
+    return hits.groupBy(*points.columns).agg(F.max_by("_v", "_o").alias(value))
 
 
 def timeline_problems(cues: DataFrame, by: str, order: str, start: str, end: str) -> DataFrame:
