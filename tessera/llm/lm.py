@@ -138,6 +138,17 @@ def _contexts(s: _Slice, counts: np.ndarray) -> np.ndarray:
     return np.append(counts, counts[end])
 
 
+def _three_bytes(x: np.ndarray) -> np.ndarray:
+    """The low 24 bits, as rows of three bytes."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+
+
+def _from_three_bytes(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _ask_bigrams(parts: int, w: _Weights):
     names = ["part", "slice", "context", "successor", "counts", "before", "lower"]
 
@@ -153,7 +164,7 @@ def _ask_bigrams(parts: int, w: _Weights):
             order = np.argsort(hashed)
             # context and successor by 24 bits each; counts and probabilities below, in steps, are for the smoothing
             c = np.round(np.log2(_contexts(s, counts)[before] + 1) * 6).astype(np.uint8)
-            fields = [((left >> U64(20)) & _24).astype(np.uint32), (mix(right) >> U64(20) & _24).astype(np.uint32), seen.astype(np.uint32), c, _level(np.log10(w.base(counts[token])))]
+            fields = [_three_bytes(left >> U64(20)), _three_bytes(mix(right) >> U64(20)), seen.astype(np.uint8 if seen.max(initial=0) < 256 else np.uint32), c, _level(np.log10(w.base(counts[token])))]
             out += _sent(s.number, parts, hashed[order], [x[order] for x in fields])
         return _table(out, names)
 
@@ -162,20 +173,22 @@ def _ask_bigrams(parts: int, w: _Weights):
 
 def _answer_bigrams(w: _Weights):
     def run(table: pa.Table) -> pa.Table:
-        def joined(column: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in table.column(column).to_pylist()])
+        def joined(column: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(column).to_pylist()])
 
-        context, successor = joined("context", np.uint32), joined("successor", np.uint32)
+        context, successor = (_from_three_bytes(b"".join(table.column(x).to_pylist())) for x in ("context", "successor"))
+        sizes = [len(x) // 3 for x in table.column("context").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == n else np.uint32) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
         keys, first, at = np.unique(context.astype(U64) << U64(24) | successor.astype(U64), return_index=True, return_inverse=True)
-        seen = np.bincount(at, weights=joined("counts", np.uint32))
+        seen = np.bincount(at, weights=counts)
         known = seen > 0
-        before = np.exp2(joined("before", np.uint8)[first][known] / 6.0) - 1
-        lower = 10.0 ** (-(joined("lower", np.uint8)[first][known].astype(np.float64) - 1) * STEP)
+        before = np.exp2(joined("before")[first][known] / 6.0) - 1
+        lower = 10.0 ** (-(joined("lower")[first][known].astype(np.float64) - 1) * STEP)
         # steps of `before` may fall below the count of the bigram itself
         p = (seen[known] + w.prior * lower) / (np.maximum(before, seen[known]) + w.prior)
         trie = TriePart.mapped(TriePart.build((keys[known] >> U64(24)), keys[known] & _24, _level(np.log10(np.minimum(p, 1)))))
         values = trie.find(keys >> U64(24), keys & _24)[at]
-        ends = np.cumsum([len(x) // 4 for x in table.column("context").to_pylist()]).tolist()
+        ends = np.cumsum(sizes).tolist()
         starts = [0, *ends[:-1]]
         return _table([(p, s, values[a:b].tobytes()) for p, s, a, b in zip(table.column("part").to_pylist(), table.column("slice").to_pylist(), starts, ends, strict=True)], ["part", "slice", "values"])
 
