@@ -6,6 +6,7 @@ import corpus_pipeline
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.jaccard import op2_jaccard
 from tessera.llm.language import op8_language
+from tessera.llm.licences import op4_licenses
 from tessera.llm.linededup import op9_lines
 from tessera.llm.lm import op7_lm
 from tessera.llm.media import op1_media
@@ -15,8 +16,9 @@ from tessera.llm.urlfilter import OP5_SQL, op5_urls
 
 QUERIES = {
     "op1_media": op1_media,
-    "op3_packing": op3_packing,
     "op2_jaccard": op2_jaccard,
+    "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_urls": op5_urls,
     "op6_topk": op6_topk,
     "op7_lm": op7_lm,
