@@ -332,3 +332,41 @@ def page_number_anchor(width: Column, height: Column, spot: str, margin: float,
     x = {"left": F.lit(float(margin)), "center": w / 2, "right": w - margin}[align]
     y = F.lit(margin + font_size * 0.25) if side == "bottom" else height - margin - font_size
     return F.struct(x.alias("x"), F.greatest(y, F.lit(0.0)).alias("y"))
+
+
+# -- document properties ------------------------------------------------------------------------------------------------
+
+#: Standard properties and dates of a document (fixed values).
+PROPERTIES = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
+DATES = ("CreationDate", "ModDate")
+MOST_PROPERTY = 400
+
+
+def metadata_patch(properties: Column, mode: str = "edit", changes: dict[str, str] | None = None, keep_dates: bool = False) -> Column:
+    """A map of properties after editing (blank changes keep what is, long ones are cut), `clear` (all) or `clear-standard` (all but custom ones)."""
+    if mode not in ("edit", "clear", "clear-standard"):
+        raise ValueError(f"no mode {mode}")
+    if mode == "edit":
+        new = {k: v.strip()[:MOST_PROPERTY] for k, v in (changes or {}).items() if k in PROPERTIES and v.strip()}
+        if not new:
+            return properties
+        put = F.create_map(*(F.lit(x) for pair in new.items() for x in pair))
+        return F.map_concat(F.map_filter(properties, lambda k, v: ~k.isin(*new)), put)
+    if mode == "clear":
+        return F.map_filter(properties, lambda k, v: k.isin(*DATES) if keep_dates else F.lit(False))
+    gone = PROPERTIES + (() if keep_dates else DATES)
+    return F.map_filter(properties, lambda k, v: ~k.isin(*gone))
+
+
+def form_values(spec: Column) -> Column:
+    """Map of `name=value` lines: the first `=` splits, the last of equal names counts, lines without a name are left out."""
+    lines = F.filter(F.split(spec, "\r\n|\n|\r"), lambda x: F.contains(x, F.lit("=")) & (F.trim(F.substring_index(x, "=", 1)) != ""))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, "=") + 1)).alias("value")))
+    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i"))), lambda p: ~F.exists(F.slice(pairs, p["i"] + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+
+
+def crop_page(left: Column, bottom: Column, right: Column, top: Column, margin: float) -> Column:
+    """(left, bottom, right, top) of a page's box without a margin on all sides; null if nothing would be left."""
+    box = F.struct((left + margin).alias("left"), (bottom + margin).alias("bottom"), (right - margin).alias("right"), (top - margin).alias("top"))
+    return F.when((right - left > 2 * margin) & (top - bottom > 2 * margin), box)

@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import charset, config, csvtext, docparts, htmltext, markdown, sniff, sqldump, subtitles, tree, xmltext, yamltext
 from tessera.operators import audio
-from tessera.sources import archives, books, documents, imagemeta, legacy, matroska, sheets
+from tessera.sources import archives, books, documents, imagemeta, legacy, matroska, pdfwrite, rasters, sheets
 
 #: Texts over this many bytes are refused, as whole files are parsed in memory.
 MOST_TEXT = 64 << 20
@@ -372,6 +373,62 @@ def ico_to_images(data: bytes, name: str):
     return [(f"_{w}x{h}_{k}.png", body) for k, (w, h, body) in enumerate(imagemeta.icon_images(data), 1)], []
 
 
+def _picture(data: bytes, pixels, target: str = "") -> tuple[list[Output], list[str]]:
+    kind = target or sniff.sniff(data[: sniff.HEAD])
+    body, notes = rasters.write_picture(pixels, kind)
+    return [(f".{kind}", body)], notes
+
+
+@kernel
+def convert_image(data: bytes, name: str, target: str = "png", most_edge: int = 0):
+    return _picture(data, rasters.shrunk(rasters.read_picture(data), most_edge), target)
+
+
+@kernel
+def flip_image(data: bytes, name: str, mode: int = 0):
+    pixels = rasters.read_picture(data)
+    return _picture(data, pixels[:: -1 if mode else 1, :: -1 if mode != 1 else 1])
+
+
+@kernel
+def rotate_image(data: bytes, name: str, degrees: int = 90):
+    if degrees % 90:
+        raise tree.FormatError("only quarter turns keep every pixel")
+    return _picture(data, np.rot90(rasters.read_picture(data), -(degrees // 90) % 4))
+
+
+@kernel
+def crop_image(data: bytes, name: str, rect: str = "", aspect: str = ""):
+    pixels = rasters.read_picture(data)
+    left, top, right, bottom = rasters.crop_box(pixels.shape[1], pixels.shape[0], rect, aspect)
+    return _picture(data, pixels[top:bottom, left:right])
+
+
+@kernel
+def gif_to_images(data: bytes, name: str, first_only: bool = False):
+    frames = rasters.read_gif(data)
+    return [(f"_{k}.png", rasters.write_png(p)) for k, (p, _) in enumerate(frames[: 1 if first_only else None], 1)], []
+
+
+@kernel
+def compress_gif(data: bytes, name: str, most_edge: int = 0, most_fps: int = 0):
+    frames = rasters.read_gif(data)
+    kept: list = []
+    for pixels, delay in frames:
+        if kept and most_fps and kept[-1][1] < 1000 / most_fps:
+            kept[-1] = (kept[-1][0], kept[-1][1] + delay)
+        else:
+            kept.append((rasters.shrunk(pixels, most_edge), delay))
+    body, notes = rasters.write_gif(kept)
+    return _one("gif", body, notes + [f"FRAMES_DROPPED:{len(frames) - len(kept)}"] * (len(kept) < len(frames)))
+
+
+@kernel
+def text_to_pdf(data: bytes, name: str, paper: str = "a4", size: int = 11, margin: int = 56):
+    body, notes = pdfwrite.text_pdf(_plain_parts(data)[0], paper, size, margin)
+    return _one("pdf", body, notes)
+
+
 @kernel
 def image_to_ico(data: bytes, name: str):
     return _one("ico", imagemeta.icon_of([data]))
@@ -424,10 +481,23 @@ def sniffed(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_id").cast("long"), F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "file_id long, name string, kind string, family string, size long")
 
 
+def _animation(files: list[tuple[str, bytes]]) -> bytes:
+    """Pictures, each centred on a canvas of the largest width and height, as frames of a second."""
+    pictures = [rasters.read_picture(d) for _, d in files]
+    height, width = (max(p.shape[k] for p in pictures) for k in (0, 1))
+    frames = []
+    for p in pictures:
+        canvas = np.zeros((height, width, 4), dtype=np.uint8)
+        top, left = (height - p.shape[0]) // 2, (width - p.shape[1]) // 2
+        canvas[top : top + p.shape[0], left : left + p.shape[1]] = p
+        frames.append((canvas, 1000))
+    return rasters.write_gif(frames)[0]
+
+
 def packed(files: DataFrame, batch: str, kind: str = "zip") -> DataFrame:
-    """One output for each batch of files (batch, file_id, name, content) in order of file_id: zip, tar, one WAV or one icon.
+    """One output for each batch of files (batch, file_id, name, content) in order of file_id: zip, tar, one WAV, icon, PDF of pictures or animation.
     Batches beyond the archive limits and files that don't go together are refused."""
-    write = {"zip": archives.pack_zip, "tar": archives.pack_tar, "wav": lambda files: audio.write_wav(audio.join([audio.read_wav(d) for _, d in files])), "ico": lambda files: imagemeta.icon_of([d for _, d in files])}[kind]
+    write = {"zip": archives.pack_zip, "tar": archives.pack_tar, "wav": lambda files: audio.write_wav(audio.join([audio.read_wav(d) for _, d in files])), "ico": lambda files: imagemeta.icon_of([d for _, d in files]), "pdf": lambda files: pdfwrite.images_pdf([d for _, d in files]), "gif": _animation}[kind]
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["file_id"])

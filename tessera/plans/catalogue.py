@@ -15,17 +15,18 @@ PLANNED = {
     "rotate_pdf_pages": "relational.select_pages", "merge_pdfs": "relational.merge_in_order", "pdf_reorder": "relational.select_pages", "insert_blank_pages": "relational.insert_blanks",
     "split_pdf_by_outline": "relational.outline_ranges", "resize_pdf_pages": "columns.resize_page", "add_page_numbers": "columns.page_number_anchor", "pdf_watermark": "columns.watermark_tiles",
     "pdf_to_text": "geometry.documents_from_lines", "pdf_to_docx": "geometry.documents_from_lines", "pdf_to_html": "geometry.documents_from_lines", "pdf_to_epub": "geometry.documents_from_lines",
-    "pdf_to_csv": "geometry.tables_from_words", "pdf_to_xlsx": "geometry.tables_from_words", "ocr_text": "columns.ocr_normalize", "rotate_image": "columns.rotated_box", "compress_video": "columns.video_bitrate",
-    "burn_subtitles": "relational.interval_lookup", "video_trim": "columns.time_ranges", "pack_zip": "convert.packed", "pack_tar": "convert.packed", "audio_merge": "convert.packed",
+    "pdf_to_csv": "geometry.tables_from_words", "pdf_to_xlsx": "geometry.tables_from_words", "ocr_text": "columns.ocr_normalize", "compress_video": "columns.video_bitrate",
+    "burn_subtitles": "relational.interval_lookup", "video_trim": "columns.time_ranges", "pack_zip": "convert.packed", "pack_tar": "convert.packed", "audio_merge": "convert.packed", "images_to_pdf": "convert.packed", "images_to_gif": "convert.packed",
+    "pdf_metadata": "columns.metadata_patch", "fill_pdf_form": "columns.form_values", "crop_pdf_pages": "columns.crop_page",
 }
 
-_PIXELS, _FRAMES, _SOUND, _PDF = "needs a pixel codec", "needs a video codec", "needs an audio codec", "needs a PDF writer"
+_PIXELS, _FRAMES, _SOUND, _PDF = "needs a lossy codec or a text renderer", "needs a video codec", "needs an audio codec", "needs a PDF reader"
 #: Operations without a function, and why.
 UNSUPPORTED = {
-    **dict.fromkeys(("convert_image", "compress_image", "image_watermark", "flip_image", "crop_image", "gif_watermark", "compress_gif", "gif_to_images", "images_to_gif"), _PIXELS),
+    **dict.fromkeys(("compress_image", "image_watermark", "gif_watermark"), _PIXELS),
     **dict.fromkeys(("video_to_gif", "video_to_image", "convert_video", "video_merge", "video_crop", "video_watermark"), _FRAMES),
     **dict.fromkeys(("convert_audio", "extract_audio"), _SOUND),
-    **dict.fromkeys(("images_to_pdf", "compress_pdf", "pdf_to_images", "encrypt_pdf", "pdf_metadata", "decrypt_pdf", "text_to_pdf", "crop_pdf_pages", "fill_pdf_form", "extract_pdf_images"), _PDF),
+    **dict.fromkeys(("compress_pdf", "pdf_to_images", "encrypt_pdf", "decrypt_pdf", "extract_pdf_images"), _PDF),
     **dict.fromkeys(("unpack_seven_z", "unpack_rar"), "needs an unpacker that isn't installed"),
 }
 

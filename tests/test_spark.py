@@ -49,6 +49,16 @@ def test_text_columns(spark):
     assert values(spark, lambda x: C.pcm_denoise(x, 1), [[1000, 1000, -3000]], "array<int>") == [[1000, 995, -3010]]
 
 
+def test_document_properties(spark):
+    maps = [{"Title": "t", "Company": "c", "ModDate": "d"}]
+    kind = "map<string,string>"
+    assert values(spark, lambda x: C.metadata_patch(x, "edit", {"Title": " n ", "Author": "", "Other": "x"}), maps, kind) == [{"Title": "n", "Company": "c", "ModDate": "d"}]
+    assert values(spark, lambda x: C.metadata_patch(x, "clear"), maps, kind) == [{}] and values(spark, lambda x: C.metadata_patch(x, "clear-standard", keep_dates=True), maps, kind) == [{"Company": "c", "ModDate": "d"}]
+    assert values(spark, C.form_values, ["a = 1=2\r\nb\n=x\na=3\nc="]) == [{"a": "3", "c": ""}]
+    boxes = spark.range(1).select(C.crop_page(F.lit(0), F.lit(0), F.lit(100), F.lit(50), 10).alias("a"), C.crop_page(F.lit(0), F.lit(0), F.lit(100), F.lit(20), 10).alias("b")).first()
+    assert tuple(boxes.a) == (10, 10, 90, 40) and boxes.b is None
+
+
 def test_page_specs(spark):
     assert values(spark, lambda x: R.spec_pages(x, F.lit(5)), ["3,5-4", "-2;4-", "6", "0", "a", "2-3-4", "-", "", "1 1"]) == [[3, 5, 4], [1, 2, 4, 5], None, None, None, None, None, None, [1, 1]]
 
