@@ -304,7 +304,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     members = store.materialise(roots.join(likely.select(F.col("doc_id").alias("id"), "n"), "id"), "members")
     links = store.materialise(_links(packed, store.materialise(_dealt(members, percent), "dealt"), percent), "links")
     united = graph.components(links)
+    # written first, so that the last join deals out both sides anew and a large class can be split
     of_class = classes.select("digest", "rep").join(united.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
+    of_class = store.materialise(of_class, "classes")
     found = screened.where("n > 0").select("doc_id", "n", "digest").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(screened.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
