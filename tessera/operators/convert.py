@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import charset, config, csvtext, docparts, htmltext, markdown, sniff, sqldump, subtitles, tree, xmltext, yamltext
 from tessera.operators import audio
-from tessera.sources import archives, books, documents, imagemeta, legacy, matroska, pdfwrite, rasters, sheets
+from tessera.sources import archives, books, documents, flac, imagemeta, legacy, matroska, pdfwrite, rasters, sevenzip, sheets
 
 #: Texts over this many bytes are refused, as whole files are parsed in memory.
 MOST_TEXT = 64 << 20
@@ -317,6 +317,11 @@ def unpack_zip(data: bytes, name: str):
     return _unpacked(archives.read_zip(data))
 
 
+@kernel
+def unpack_seven_z(data: bytes, name: str):
+    return _unpacked(sevenzip.read_7z(data))
+
+
 @kernel
 def untar(data: bytes, name: str):
     if sniff.sniff(data[: sniff.HEAD]) == "gzip":
@@ -347,6 +352,14 @@ def _seconds(text: str) -> float:
     return sum(x * 60**k for k, x in enumerate(reversed(parts)))
 
 
+@kernel
+def convert_audio(data: bytes, name: str, target: str = "flac"):
+    p = audio.read_wav(data)
+    if target not in ("wav", "flac"):
+        raise tree.FormatError(f"no codec for {target}")
+    return _one(target, flac.write_flac(p.rate, p.channels, p.samples) if target == "flac" else audio.write_wav(p))
+
+
 @kernel
 def audio_volume(data: bytes, name: str, percent: int = 150):
     return _one("wav", audio.write_wav(audio.gain(audio.read_wav(data), percent)))

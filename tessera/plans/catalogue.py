@@ -25,9 +25,9 @@ _PIXELS, _FRAMES, _SOUND, _PDF = "needs a lossy codec or a text renderer", "need
 UNSUPPORTED = {
     **dict.fromkeys(("compress_image", "image_watermark", "gif_watermark"), _PIXELS),
     **dict.fromkeys(("video_to_gif", "video_to_image", "convert_video", "video_merge", "video_crop", "video_watermark"), _FRAMES),
-    **dict.fromkeys(("convert_audio", "extract_audio"), _SOUND),
+    **dict.fromkeys(("extract_audio",), _SOUND),
     **dict.fromkeys(("compress_pdf", "pdf_to_images", "encrypt_pdf", "decrypt_pdf", "extract_pdf_images"), _PDF),
-    **dict.fromkeys(("unpack_seven_z", "unpack_rar"), "needs an unpacker that isn't installed"),
+    **dict.fromkeys(("unpack_rar",), "needs an unpacker that isn't installed"),
 }
 
 
