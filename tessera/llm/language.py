@@ -103,6 +103,8 @@ class Model:
     def score(self, text: str | None) -> tuple[str, float, int]:
         """Language, posterior and number of words of a whole text."""
         words = _LETTERS.findall(text.lower()) if text else []
+        if words and not words[0].isalpha():  # numerals such as superscripts count as word characters too
+            words = [w for w in words if any(map(str.isalpha, w))]
         if not words or not self.languages:
             return UNDETERMINED, 0.0, len(words)
         known = self.known
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
     for j, lang in enumerate(languages):
         for r in words.where(F.col("lang") == lang).orderBy(F.desc("count"), "word").limit(sample_words).collect():
             counted.setdefault(r["word"], [0.0] * len(languages))[j] = float(r["count"])
+    store.discard(words)
     model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1.0 / len(pieces)))
     for _ in range(rounds):
         model = Model(languages, pieces, _normal(expected_counts(model, counted)))
