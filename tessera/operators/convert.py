@@ -468,8 +468,8 @@ def convert(files: DataFrame, operation: str, **parameters) -> DataFrame:
                 try:
                     outputs, notes = run_one(data, name or "", **parameters)
                     rows += [(file_id, k, _stem(name or "") + suffix, content, notes, None) for k, (suffix, content) in enumerate(outputs, 1)]
-                except (ValueError, LookupError, RecursionError, UnicodeError) as e:
-                    rows.append((file_id, 0, name, None, [], str(e)))
+                except Exception as e:  # whatever a damaged file does to a kernel, it mustn't stop the others
+                    rows.append((file_id, 0, name, None, [], str(e) or type(e).__name__))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_kinds)], names=_names)
 
     return files.select(F.col("file_id").cast("long"), F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(run, FILES)
@@ -482,13 +482,21 @@ def convert_text(texts: DataFrame, operation: str, key: str, text: str, **parame
     return out.select(F.col("file_id").alias(key), F.decode("content", "UTF-8").alias("output"), "notes", "error")
 
 
+def _kind(data: bytes) -> str:
+    kind = sniff.sniff(data[: sniff.HEAD])
+    try:
+        return sniff.refine(kind, data)
+    except Exception:  # a damaged container stays what its head says
+        return kind
+
+
 def sniffed(files: DataFrame) -> DataFrame:
     """file_id, name, kind, family and size of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column(2).to_pylist()
-            kinds = ["unknown" if d is None else sniff.refine(sniff.sniff(d[: sniff.HEAD]), d) for d in data]
+            kinds = ["unknown" if d is None else _kind(d) for d in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds), pa.array([sniff.family(k) for k in kinds]), pa.array([None if d is None else len(d) for d in data], pa.int64())], names=["file_id", "name", "kind", "family", "size"])
 
     return files.select(F.col("file_id").cast("long"), F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "file_id long, name string, kind string, family string, size long")
