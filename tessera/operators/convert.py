@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import charset, config, csvtext, docparts, htmltext, markdown, sniff, sqldump, subtitles, tree, xmltext, yamltext
-from tessera.operators import audio
-from tessera.sources import archives, books, documents, flac, imagemeta, legacy, matroska, pdfwrite, rasters, sevenzip, sheets
+from tessera.operators import audio, structure
+from tessera.sources import archives, books, documents, flac, imagemeta, legacy, matroska, pdfread, pdfwrite, rasters, sevenzip, sheets
 
 #: Texts over this many bytes are refused, as whole files are parsed in memory.
 MOST_TEXT = 64 << 20
@@ -200,6 +200,43 @@ def html_to_csv(data: bytes, name: str, delimiter: str = ",", eol: str = "lf"):
     return [(f"_{k}.csv", csvtext.render_csv(rows, delimiter, charset.EOLS[eol]).encode()) for k, (_, rows) in enumerate(found, 1)], []
 
 
+def _pdf_lines(data: bytes) -> list[dict]:
+    pages = pdfread.read_pdf(data)
+    lines = [dict(line, page=k) for k, words in enumerate(pages, 1) for line in pdfread.lines_of(words)]
+    if not lines:
+        raise tree.FormatError("the PDF has no text layer")
+    return lines
+
+
+def _pdf_parts(data: bytes) -> tuple[list[docparts.Part], dict[str, int]]:
+    return structure.lines_to_parts(_pdf_lines(data)), {}
+
+
+@kernel
+def pdf_to_text(data: bytes, name: str):
+    lines = _pdf_lines(data)
+    pages = [[x["text"] for x in lines if x["page"] == k] for k in range(1, max(x["page"] for x in lines) + 1)]
+    return _one("txt", "\f".join("\n".join(p) + "\n" for p in pages))
+
+
+def _pdf_tables(data: bytes) -> list[list[list[str]]]:
+    found = [t for words in pdfread.read_pdf(data) for t in structure.page_tables([(w["text"], w["left"], w["right"], w["top"], w["bottom"]) for w in words])]
+    if not found:
+        raise tree.FormatError("no table is found")
+    return found
+
+
+@kernel
+def pdf_to_csv(data: bytes, name: str, delimiter: str = ",", eol: str = "lf"):
+    return [(f"_{k}.csv", csvtext.render_csv(t, delimiter, charset.EOLS[eol]).encode()) for k, t in enumerate(_pdf_tables(data), 1)], []
+
+
+@kernel
+def pdf_to_xlsx(data: bytes, name: str):
+    book, notes = sheets.write_xlsx([sheets.Sheet(f"Table {k}", t) for k, t in enumerate(_pdf_tables(data), 1)])
+    return _one("xlsx", book, notes)
+
+
 def _codes(notes: dict[str, int]) -> list[str]:
     return [f"{k.upper()}:{n}" for k, n in notes.items() if n]
 
@@ -220,7 +257,7 @@ def _plain_parts(data: bytes) -> tuple[list[docparts.Part], dict[str, int]]:
 READERS: dict[str, Callable[[bytes], tuple[list[docparts.Part], dict[str, int]]]] = {
     "html": lambda d: htmltext.html_parts(_text(d)), "md": lambda d: markdown.markdown_parts(_text(d)), "docx": documents.read_docx, "odt": documents.read_odt,
     "pptx": documents.read_pptx, "rtf": documents.read_rtf, "text": _plain_parts,
-    "epub": lambda d: (lambda found: (books.book_parts(found[1]), found[2]))(books.read_epub(d)), "mobi": lambda d: htmltext.html_parts(books.read_mobi(d)[1]),
+    "epub": lambda d: (lambda found: (books.book_parts(found[1]), found[2]))(books.read_epub(d)), "mobi": lambda d: htmltext.html_parts(books.read_mobi(d)[1]), "pdf": lambda d: _pdf_parts(d),
 }
 WRITERS: dict[str, tuple[str, Callable[[list[docparts.Part], str], str | bytes]]] = {
     "text": ("txt", lambda p, n: docparts.to_text(p)), "markdown": ("md", lambda p, n: docparts.to_markdown(p)), "html": ("html", lambda p, n: docparts.to_html(p, n)),
@@ -243,7 +280,7 @@ def _document(source: str, target: str) -> Kernel:
 for _a, _b in [
     ("md", "html"), ("md", "text"), ("html", "text"), ("html", "markdown"), ("text", "docx"), ("text", "odt"), ("text", "rtf"), ("text", "epub"), ("epub", "text"), ("epub", "markdown"),
     ("epub", "docx"), ("mobi", "text"), ("mobi", "epub"), ("docx", "text"), ("docx", "markdown"), ("docx", "html"), ("odt", "text"), ("odt", "markdown"), ("odt", "html"), ("odt", "docx"),
-    ("pptx", "text"), ("pptx", "markdown"), ("pptx", "html"), ("pptx", "docx"), ("rtf", "text"), ("rtf", "markdown"), ("rtf", "html"), ("rtf", "docx"),
+    ("pptx", "text"), ("pptx", "markdown"), ("pptx", "html"), ("pptx", "docx"), ("rtf", "text"), ("rtf", "markdown"), ("rtf", "html"), ("rtf", "docx"), ("pdf", "docx"), ("pdf", "html"), ("pdf", "epub"),
 ]:
     KERNELS[f"{_a}_to_{_b}"] = _document(_a, _b)
 

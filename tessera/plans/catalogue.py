@@ -14,8 +14,8 @@ PLANNED = {
     "split_pdf_by_size": "relational.split_by_size", "split_pdf_into_parts": "relational.even_split", "extract_pdf_pages": "relational.select_pages", "remove_pdf_pages": "relational.remove_pages",
     "rotate_pdf_pages": "relational.select_pages", "merge_pdfs": "relational.merge_in_order", "pdf_reorder": "relational.select_pages", "insert_blank_pages": "relational.insert_blanks",
     "split_pdf_by_outline": "relational.outline_ranges", "resize_pdf_pages": "columns.resize_page", "add_page_numbers": "columns.page_number_anchor", "pdf_watermark": "columns.watermark_tiles",
-    "pdf_to_text": "geometry.documents_from_lines", "pdf_to_docx": "geometry.documents_from_lines", "pdf_to_html": "geometry.documents_from_lines", "pdf_to_epub": "geometry.documents_from_lines",
-    "pdf_to_csv": "geometry.tables_from_words", "pdf_to_xlsx": "geometry.tables_from_words", "ocr_text": "columns.ocr_normalize", "compress_video": "columns.video_bitrate",
+    
+    "ocr_text": "columns.ocr_normalize", "compress_video": "columns.video_bitrate",
     "burn_subtitles": "relational.interval_lookup", "video_trim": "columns.time_ranges", "pack_zip": "convert.packed", "pack_tar": "convert.packed", "audio_merge": "convert.packed", "images_to_pdf": "convert.packed", "images_to_gif": "convert.packed",
     "pdf_metadata": "columns.metadata_patch", "fill_pdf_form": "columns.form_values", "crop_pdf_pages": "columns.crop_page",
 }

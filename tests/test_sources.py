@@ -9,7 +9,8 @@ import pytest
 
 from tessera.functions import docparts, markdown
 from tessera.functions.tree import FormatError
-from tessera.operators import audio, geometry
+from tessera.operators import audio
+from tessera.operators import structure as geometry
 from tessera.sources import archives, books, documents, imagemeta, sheets
 
 TEXT = "# T\n\nPara **b** *i* [l](http://x.y) é😀\n\n- a\n- b\n  - c\n\n1. n\n2. m\n\n| h | k |\n| --- | --- |\n| 1 | 2 |\n\n## Two\n\n> q\n"
