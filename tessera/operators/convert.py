@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import charset, config, csvtext, docparts, htmltext, markdown, sniff, sqldump, subtitles, tree, xmltext, yamltext
 from tessera.operators import audio, structure
-from tessera.sources import archives, books, documents, flac, imagemeta, legacy, matroska, pdfread, pdfwrite, rasters, sevenzip, sheets
+from tessera.sources import archives, books, documents, flac, imagemeta, legacy, matroska, pdfpages, pdfread, pdfwrite, rasters, sevenzip, sheets
 
 #: Texts over this many bytes are refused, as whole files are parsed in memory.
 MOST_TEXT = 64 << 20
@@ -237,6 +237,142 @@ def pdf_to_xlsx(data: bytes, name: str):
     return _one("xlsx", book, notes)
 
 
+def _one_pdf(pages: list[pdfpages.Page], properties: dict[str, str] | None = None) -> tuple[list[Output], list[str]]:
+    return _one("pdf", pdfpages.build(pages, properties))
+
+
+@kernel
+def extract_pdf_pages(data: bytes, name: str, spec: str = "1-"):
+    pages = pdfpages.read(data)
+    return _one_pdf([pages[k] for k in pdfpages.parse_spec(spec, len(pages))])
+
+
+@kernel
+def pdf_reorder(data: bytes, name: str, spec: str = "1-"):
+    return extract_pdf_pages(data, name, spec)
+
+
+@kernel
+def remove_pdf_pages(data: bytes, name: str, spec: str = "1"):
+    pages = pdfpages.read(data)
+    gone = set(pdfpages.parse_spec(spec, len(pages)))
+    return _one_pdf([p for k, p in enumerate(pages) if k not in gone])
+
+
+@kernel
+def rotate_pdf_pages(data: bytes, name: str, spec: str = "1-", degrees: int = 90):
+    pages = pdfpages.read(data)
+    return _one_pdf(pdfpages.rotated(pages, set(pdfpages.parse_spec(spec, len(pages))), degrees))
+
+
+@kernel
+def split_pdf_into_parts(data: bytes, name: str, parts: int = 2):
+    pages = pdfpages.read(data)
+    n = min(max(parts, 1), len(pages))
+    cuts = [k * (len(pages) // n) + min(k, len(pages) % n) for k in range(n + 1)]
+    return [(f"_part{k:02d}.pdf", pdfpages.build(pages[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1)], []
+
+
+@kernel
+def split_pdf_by_size(data: bytes, name: str, target_bytes: int = 8 << 20):
+    groups = pdfpages.by_size(pdfpages.read(data), target_bytes)
+    built = [pdfpages.build(g) for g in groups]
+    return [(f"_part{k:02d}.pdf", b) for k, b in enumerate(built, 1)], [f"OVER_TARGET:{n}" for n in [sum(len(b) > target_bytes for b in built)] if n]
+
+
+@kernel
+def split_pdf_by_outline(data: bytes, name: str):
+    pages, marks = pdfpages.read(data), pdfpages.outline(data)
+    if not marks:
+        raise tree.FormatError("the PDF has no bookmarks")
+    marks = [("front", 0)] * (marks[0][1] > 0) + marks
+    ends = [k for _, k in marks[1:]] + [len(pages)]
+    names = archives.unique_entry_names([re.sub(r'[<>:"/\\|?*\x00-\x1f]', "", t).strip() or "part" for t, _ in marks])
+    return [(f"_{t}.pdf", pdfpages.build(pages[a:b])) for t, (_, a), b in zip(names, marks, ends, strict=True)], []
+
+
+@kernel
+def insert_blank_pages(data: bytes, name: str, after: str = "0"):
+    pages = pdfpages.read(data)
+    places = {int(x) for x in re.split(r"[,，\s]+", after.strip()) if x}
+    if not all(0 <= k <= len(pages) for k in places):
+        raise tree.FormatError(f"there are {len(pages)} pages")
+    out = []
+    for k in range(len(pages) + 1):
+        out += [pages[k - 1]] if k else []
+        if k in places:
+            doc, like = pages[max(k - 1, 0)]
+            out.append((doc, {"MediaBox": pdfpages.box_of((doc, like)), "Resources": {}}))
+    return _one_pdf(out)
+
+
+@kernel
+def crop_pdf_pages(data: bytes, name: str, margin: float = 36):
+    return _one_pdf(pdfpages.cropped(pdfpages.read(data), margin))
+
+
+@kernel
+def resize_pdf_pages(data: bytes, name: str, paper: str = "a4", mode: str = "contain"):
+    return _one_pdf(pdfpages.resized(pdfpages.read(data), paper, mode))
+
+
+@kernel
+def add_page_numbers(data: bytes, name: str, spec: str = "1-", style: str = "plain", spot: str = "bottom_center", first: int = 1, size: float = 11, margin: float = 20):
+    pages = pdfpages.read(data)
+    chosen = set(pdfpages.parse_spec(spec, len(pages)))
+    texts = {k: f"{first + k} / {len(pages)}" if style == "total" else f"{first + k}" for k in chosen}
+    return _one_pdf(pdfpages.stamped(pages, texts, size, spot, margin))
+
+
+@kernel
+def pdf_watermark(data: bytes, name: str, text: str = "", columns: int = 1, rows: int = 1, tilt: float = 45, grey: float = 0.75):
+    if not text.strip():
+        raise tree.FormatError("the text is empty")
+    return _one_pdf(pdfpages.watermarked(pdfpages.read(data), text, columns, rows, tilt, grey))
+
+
+@kernel
+def pdf_metadata(data: bytes, name: str, mode: str = "edit", title: str = "", author: str = "", subject: str = "", keywords: str = "", keep_dates: bool = False):
+    now = pdfpages.information(data)
+    given = {"Title": title, "Author": author, "Subject": subject, "Keywords": keywords}
+    dates = {k: v for k, v in now.items() if k in ("CreationDate", "ModDate")}
+    if mode == "edit":
+        now |= {k: v.strip()[:400] for k, v in given.items() if v.strip()}
+    elif mode == "clear":
+        now = dates if keep_dates else {}
+    else:
+        now = {k: v for k, v in now.items() if k not in (*given, "Creator", "Producer", "CreationDate", "ModDate")} | (dates if keep_dates else {})
+    return _one_pdf(pdfpages.read(data), now)
+
+
+@kernel
+def extract_pdf_images(data: bytes, name: str, min_edge: int = 0):
+    doc = pdfread.Document(data)
+    out, other = [], 0
+    for number, x in sorted(doc.objects.items()):
+        if not isinstance(x, pdfread.Stream) or x.head.get("Subtype") != "Image":
+            continue
+        width, height = (int(doc.get(x.head.get(k)) or 0) for k in ("Width", "Height"))
+        if min(width, height) < max(min_edge, 1):
+            continue
+        kinds = doc.get(x.head.get("Filter"))
+        kinds = kinds if isinstance(kinds, list) else [kinds] if kinds else []
+        space, depth = doc.get(x.head.get("ColorSpace")), doc.get(x.head.get("BitsPerComponent"))
+        if kinds == ["DCTDecode"]:
+            out.append((f"_{number}.jpg", x.raw))
+        elif set(kinds) <= {"FlateDecode"} and depth == 8 and space in ("DeviceRGB", "DeviceGray"):
+            parts = 3 if space == "DeviceRGB" else 1
+            raw = np.frombuffer(doc.decoded(x), np.uint8)[: width * height * parts].reshape(height, width, parts)
+            pixels = np.full((height, width, 4), 255, dtype=np.uint8)
+            pixels[:, :, :3] = raw
+            out.append((f"_{number}.png", rasters.write_png(pixels)))
+        else:
+            other += 1
+    if not out:
+        raise tree.FormatError("no picture that can be taken out")
+    return out, [f"OTHER_PICTURES:{other}"] if other else []
+
+
 def _codes(notes: dict[str, int]) -> list[str]:
     return [f"{k.upper()}:{n}" for k, n in notes.items() if n]
 
@@ -553,9 +689,9 @@ def _animation(files: list[tuple[str, bytes]]) -> bytes:
 
 
 def packed(files: DataFrame, batch: str, kind: str = "zip") -> DataFrame:
-    """One output for each batch of files (batch, file_id, name, content) in order of file_id: zip, tar, one WAV, icon, PDF of pictures or animation.
+    """One output for each batch of files (batch, file_id, name, content) in order of file_id: zip, tar, one WAV, icon, PDF of pictures, animation or merged PDF.
     Batches beyond the archive limits and files that don't go together are refused."""
-    write = {"zip": archives.pack_zip, "tar": archives.pack_tar, "wav": lambda files: audio.write_wav(audio.join([audio.read_wav(d) for _, d in files])), "ico": lambda files: imagemeta.icon_of([d for _, d in files]), "pdf": lambda files: pdfwrite.images_pdf([d for _, d in files]), "gif": _animation}[kind]
+    write = {"zip": archives.pack_zip, "tar": archives.pack_tar, "wav": lambda files: audio.write_wav(audio.join([audio.read_wav(d) for _, d in files])), "ico": lambda files: imagemeta.icon_of([d for _, d in files]), "pdf": lambda files: pdfwrite.images_pdf([d for _, d in files]), "gif": _animation, "merged_pdf": lambda files: pdfpages.build([p for _, d in files for p in pdfpages.read(d)])}[kind]
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["file_id"])

@@ -11,22 +11,22 @@ from tessera.operators.convert import KERNELS
 
 #: Operations done by relational functions over page, line, word or file tables (operation: function).
 PLANNED = {
-    "split_pdf_by_size": "relational.split_by_size", "split_pdf_into_parts": "relational.even_split", "extract_pdf_pages": "relational.select_pages", "remove_pdf_pages": "relational.remove_pages",
-    "rotate_pdf_pages": "relational.select_pages", "merge_pdfs": "relational.merge_in_order", "pdf_reorder": "relational.select_pages", "insert_blank_pages": "relational.insert_blanks",
-    "split_pdf_by_outline": "relational.outline_ranges", "resize_pdf_pages": "columns.resize_page", "add_page_numbers": "columns.page_number_anchor", "pdf_watermark": "columns.watermark_tiles",
+    
+    "merge_pdfs": "convert.packed", 
+    
     
     "ocr_text": "columns.ocr_normalize", "compress_video": "columns.video_bitrate",
     "burn_subtitles": "relational.interval_lookup", "video_trim": "columns.time_ranges", "pack_zip": "convert.packed", "pack_tar": "convert.packed", "audio_merge": "convert.packed", "images_to_pdf": "convert.packed", "images_to_gif": "convert.packed",
-    "pdf_metadata": "columns.metadata_patch", "fill_pdf_form": "columns.form_values", "crop_pdf_pages": "columns.crop_page",
+    "fill_pdf_form": "columns.form_values", 
 }
 
-_PIXELS, _FRAMES, _SOUND, _PDF = "needs a lossy codec or a text renderer", "needs a video codec", "needs an audio codec", "needs a PDF reader"
+_PIXELS, _FRAMES, _SOUND, _PDF = "needs a lossy codec or a text renderer", "needs a video codec", "needs an audio codec", "needs a PDF renderer or cipher"
 #: Operations without a function, and why.
 UNSUPPORTED = {
     **dict.fromkeys(("compress_image", "image_watermark", "gif_watermark"), _PIXELS),
     **dict.fromkeys(("video_to_gif", "video_to_image", "convert_video", "video_merge", "video_crop", "video_watermark"), _FRAMES),
     **dict.fromkeys(("extract_audio",), _SOUND),
-    **dict.fromkeys(("compress_pdf", "pdf_to_images", "encrypt_pdf", "decrypt_pdf", "extract_pdf_images"), _PDF),
+    **dict.fromkeys(("compress_pdf", "pdf_to_images", "encrypt_pdf", "decrypt_pdf"), _PDF),
     **dict.fromkeys(("unpack_rar",), "needs an unpacker that isn't installed"),
 }
 

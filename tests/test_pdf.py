@@ -71,3 +71,77 @@ def test_what_is_refused():
     for bad in (b"", b"%PDF-1.4", good.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"), good.replace(b"/Kids [3 0 R]", b"/Kids []")):
         with pytest.raises(FormatError):
             pdfread.read_pdf(bad)
+
+
+def book(n=5):
+    return pdfwrite.text_pdf([Para([Run(f"page {k} " + "words " * 700)]) for k in range(1, n + 1)], size=12, number_pages=False)[0]
+
+
+def first_words(data):
+    return [" ".join(w["text"] for w in page[:2]) for page in pdfread.read_pdf(data)]
+
+
+def run(name, data, **parameters):
+    return [body for _, body in KERNELS[name](data, "b.pdf", **parameters)[0]]
+
+
+def test_pages_are_chosen_split_and_joined(spark):
+    data = book()
+    pages = first_words(data)
+    n = len(pages)
+    assert first_words(run("extract_pdf_pages", data, spec="3,1-2,3")[0]) == [pages[2], pages[0], pages[1], pages[2]]
+    assert first_words(run("pdf_reorder", data, spec=f"{n}-1")[0]) == pages[::-1] and first_words(run("remove_pdf_pages", data, spec="2-")[0]) == pages[:1]
+    parts = run("split_pdf_into_parts", data, parts=3)
+    assert [len(first_words(p)) for p in parts] == [n // 3 + (k < n % 3) for k in range(3)] and sum(map(first_words, parts), []) == pages
+    groups = run("split_pdf_by_size", data, target_bytes=len(run("extract_pdf_pages", data, spec="1-2")[0]) + 10)
+    assert sum(map(first_words, groups), []) == pages and len(groups) < n
+    assert len(run("split_pdf_by_size", data, target_bytes=10)) == n
+    with pytest.raises(FormatError):
+        run("extract_pdf_pages", data, spec=f"{n + 1}")
+    from tessera.operators.convert import packed
+
+    files = spark.createDataFrame([(1, 2, "b", data), (1, 1, "a", parts[0]), (2, 1, "x", b"no")], "batch long, file_id long, name string, content binary")
+    merged = {r.batch: r for r in packed(files, "batch", "merged_pdf").collect()}
+    assert first_words(bytes(merged[1].content)) == pages[: n // 3 + (n % 3 > 0)] + pages and merged[2].error
+
+
+def test_pages_are_changed():
+    data = book(2)
+    pages = pdfread.Document(run("rotate_pdf_pages", data, spec="1", degrees=270)[0]).pages
+    assert pages[0]["Rotate"] == 270 and pages[1].get("Rotate", 0) == 0
+    assert pdfread.Document(run("crop_pdf_pages", data, margin=50)[0]).pages[0]["MediaBox"] == [50, 50, 545, 792]
+    small = pdfread.Document(run("resize_pdf_pages", data, paper="a5")[0])
+    assert small.pages[0]["MediaBox"] == [0, 0, 420, 595]
+    word, before = pdfread.page_words(small, small.pages[0])[0], pdfread.read_pdf(data)[0][0]
+    assert abs(word["size"] - before["size"] * min(420 / 595, 595 / 842)) < 1e-3
+    blank = run("insert_blank_pages", data, after="0,1")[0]
+    assert [len(p) > 0 for p in pdfread.read_pdf(blank)][:4] == [False, True, False, True]
+    numbered = pdfread.read_pdf(run("add_page_numbers", data, style="total", first=1)[0])
+    assert [w["text"] for w in numbered[1][-3:]] == ["2", "/", str(len(numbered))]
+    marked = pdfread.read_pdf(run("pdf_watermark", data, text="DRAFT", columns=2, rows=2, tilt=0)[0])
+    assert [w["text"] for w in marked[0]].count("DRAFT") == 4
+    titled = run("pdf_metadata", data, title="Tïtle")[0]
+    assert b"/Info" in titled and KERNELS["pdf_metadata"](titled, "x", mode="clear")[0][0][1].count(b"/Info") == 0
+    from tessera.sources import pdfpages
+
+    assert pdfpages.information(titled) == {"Title": "Tïtle"}
+
+
+def test_pictures_come_out():
+    import numpy as np
+
+    from tessera.sources import rasters
+
+    p = np.random.default_rng(1).integers(0, 256, (3, 4, 4), dtype=np.uint8)
+    p[:, :, 3] = 255
+    found = KERNELS["extract_pdf_images"](pdfwrite.images_pdf([rasters.write_png(p)]), "x")[0]
+    assert len(found) == 1 and np.array_equal(rasters.read_png(found[0][1]), p)
+
+
+def test_bookmarks_split():
+    data = book(2)
+    n = len(pdfread.read_pdf(data))
+    kids = [int(x) for x in __import__("re").findall(rb"(\d+) 0 R", __import__("re").search(rb"/Kids \[(.*?)\]", data)[1])]
+    marked = data.replace(b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Catalog /Pages 2 0 R /Outlines 900 0 R >>") + b"900 0 obj << /First 901 0 R >> endobj 901 0 obj << /Title (One) /Dest [%d 0 R /Fit] /Next 902 0 R >> endobj 902 0 obj << /Title (Two) /Dest [%d 0 R /Fit] >> endobj" % (kids[1], kids[2])
+    out = KERNELS["split_pdf_by_outline"](marked, "b.pdf")[0]
+    assert [s for s, _ in out] == ["_front.pdf", "_One.pdf", "_Two.pdf"] and [len(pdfread.read_pdf(b)) for _, b in out] == [1, 1, n - 2]
