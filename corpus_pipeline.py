@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = store.materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, store.materialise(stage(spark, docs, sf_dir), name)
+        store.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,13 +58,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for every id of the edges: root is the smallest id of its component. Equal and repeated edges do no harm."""
     levels: list[DataFrame] = []
+    written: list[DataFrame] = []
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     while True:
         stars = store.materialise(edges.mapInArrow(_contract, "id long, root long"), "stars")
         best = stars.groupBy("id").agg(F.min("root").alias("root"))
         levels.append(best)
+        written.append(stars)
         own = best.select(F.col("id"), F.col("root").alias("b"))
         edges = store.materialise(stars.join(own, "id").where("root <> b").select(F.col("root").alias("a"), "b").distinct(), "conflicts")
+        written.append(edges)
         n = edges.count()
         if not n:
             break
@@ -74,7 +77,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for level in levels[1:]:
         above = level.select(F.col("id").alias("root"), F.col("root").alias("over"))
         out = out.join(above, "root", "left").select("id", F.coalesce("over", "root").alias("root"))
-    return store.materialise(out, "components")
+    out = store.materialise(out, "components")
+    store.discard(*written)
+    return out
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -300,13 +300,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     likely = store.materialise(classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100)).select(F.col("rep").alias("doc_id"), "digest", "n"), "likely")
     # the list of likely documents grows with the corpus: never broadcast
     packed = store.materialise(_pack(docs.join(likely.select("doc_id", "digest").hint("merge"), "doc_id"), words), "packed")
-    roots = graph.components(store.materialise(graph.stars(_prefix_keys(packed, parts, percent)), "prefixes"))
+    prefixes = store.materialise(graph.stars(_prefix_keys(packed, parts, percent)), "prefixes")
+    roots = graph.components(prefixes)
     members = store.materialise(roots.join(likely.select(F.col("doc_id").alias("id"), "n"), "id"), "members")
-    links = store.materialise(_links(packed, store.materialise(_dealt(members, percent), "dealt"), percent), "links")
+    dealt = store.materialise(_dealt(members, percent), "dealt")
+    links = store.materialise(_links(packed, dealt, percent), "links")
+    store.discard(likely, packed, prefixes, roots, members, dealt)
     united = graph.components(links)
     # written first, so that the last join deals out both sides anew and a large class can be split
     of_class = classes.select("digest", "rep").join(united.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     of_class = store.materialise(of_class, "classes")
+    store.discard(links, united)
     found = screened.where("n > 0").select("doc_id", "n", "digest").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(screened.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -190,13 +190,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     pairs = store.materialise(graph.stars(_bands(docs, parts)).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.line")), "lines")
-    united = graph.components(store.materialise(_verified(pairs, texts), "links"))
+    links = store.materialise(_verified(pairs, texts), "links")
+    store.discard(pairs, texts)
+    united = graph.components(links)
     grouped = firsts.join(united, "id", "left")
     # written first, so that the join below deals out both sides anew and a large component can be split
     keepers = store.materialise(grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("keeper")), "roots")
     kept = grouped.where((F.col("n") > 1) | F.col("root").isNotNull()).join(keepers, "root", "left").select("id", F.coalesce("keeper", "first").alias("keeper"))
-    gone = places.join(store.materialise(kept, "keepers"), "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("keeper")))
-    return store.materialise(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    kept = store.materialise(kept, "keepers")
+    gone = places.join(kept, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("keeper")))
+    gone = store.materialise(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    store.discard(links, united, keepers, kept, firsts, places)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

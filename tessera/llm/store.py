@@ -32,7 +32,19 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     schema = frame.schema
     del frame
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialise() wrote for these frames, once nothing that is still to run reads them."""
+    for frame in frames:
+        path = frame.__dict__.pop("_stored", None)
+        if path:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -131,6 +131,7 @@ def judge(pages: DataFrame, listed: Column, rules: tuple[Rule, ...] = RULES, id_
         keys = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("is_listed"))
         split = split.join(keys, "host", "left").withColumn("is_listed", F.coalesce(F.col("is_listed"), F.lit(False)))
     else:
+        store.discard(universe)
         split = split.withColumn("is_listed", listed_by(levels, F.col("host")))
     name, verdict = F.lit(None).cast("string"), F.when(F.col("is_listed"), "block").otherwise("allow")
     for rule in sorted(rules, key=lambda r: (len(r.name), len(r.host))):

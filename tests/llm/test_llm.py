@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import random
 import struct
 import wave
@@ -400,6 +401,14 @@ def test_pipeline_equals_brute_force(spark, sf):
         assert all(r.n_chars == len(texts[r.doc_id]) for r in docs.collect())
 
 
+def test_what_is_discarded_is_gone(spark):
+    frame_ = store.materialise(spark.range(5), "test")
+    path = frame_._stored.removeprefix("file://")
+    assert frame_.count() == 5 and os.path.isdir(path)
+    store.discard(frame_, spark.range(1))
+    assert not os.path.exists(path)
+
+
 def test_queries_run_on_the_smallest_tables(spark, sf):
     for name, query in registry.QUERIES.items():
         rows = query(spark, sf)
