@@ -56,10 +56,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, root) for every id of the edges: root is the smallest id of its component. Equal and repeated edges do no harm."""
+    """(id, root) for every id of the edges, a written table: root is the smallest id of its component. Equal and repeated edges do no harm."""
     levels: list[DataFrame] = []
     written: list[DataFrame] = []
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    if edges.count() <= LAST_LEVEL:
+        return store.materialise(edges.coalesce(1).mapInArrow(_contract, "id long, root long"), "components")
     while True:
         stars = store.materialise(edges.mapInArrow(_contract, "id long, root long"), "stars")
         best = stars.groupBy("id").agg(F.min("root").alias("root"))

@@ -50,9 +50,9 @@ def discard(*frames: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets shuffle files of finished steps go: they do when the driver has collected its garbage, twice."""
     gc.collect()
-    for _ in range(2):
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    spark._jvm.System.gc()
+    time.sleep(0.1)
+    spark._jvm.System.gc()
 
 
 def bounded(spark: SparkSession, megabytes: int = 4) -> None:
