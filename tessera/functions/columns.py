@@ -370,3 +370,9 @@ def crop_page(left: Column, bottom: Column, right: Column, top: Column, margin:
     """(left, bottom, right, top) of a page's box without a margin on all sides; null if nothing would be left."""
     box = F.struct((left + margin).alias("left"), (bottom + margin).alias("bottom"), (right - margin).alias("right"), (top - margin).alias("top"))
     return F.when((right - left > 2 * margin) & (top - bottom > 2 * margin), box)
+
+
+def ocr_page(number: Column, total: Column, text: Column, empty: str = "(no text)") -> Column:
+    """A page's recognised text under a fence with its number; a page without any says so."""
+    body = ocr_normalize(text)
+    return F.concat(F.format_string("===== page %d / %d =====\n", number, total), F.when(body == "", empty).otherwise(body))

@@ -255,3 +255,9 @@ def archive_plan(entries: DataFrame, archive: str, most_entry: int = 64 << 20, m
         F.count_if(F.col("_file") & F.col("_why").isNull()).alias("kept"), F.count_if(F.col("_file") & F.col("_why").isNotNull()).alias("skipped"),
     )
     return sums.withColumn("refused", F.when(F.col("files") == 0, "only_directories").when(F.col("bytes") > most_total, "too_large").when(F.col("kept") == 0, "nothing_usable"))
+
+
+def pick_asset(assets: DataFrame, by: str, name: str, size: str, word: str = "release") -> DataFrame:
+    """Each release's asset: one whose name has the word before others, then the smallest, then by name."""
+    rank = F.struct((~F.contains(F.lower(name), F.lit(word))).alias("other"), F.col(size).alias("size"), F.col(name).alias("name"))
+    return assets.groupBy(by).agg(F.min(rank).alias("_b")).select(by, F.col("_b.name").alias(name), F.col("_b.size").alias(size))

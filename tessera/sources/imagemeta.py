@@ -150,3 +150,66 @@ def icon_of(pictures: list[bytes]) -> bytes:
         out += struct.pack("<BBBBHHII", width % 256, height % 256, 0, 0, 1, 32, len(p), at + len(bodies))
         bodies += p
     return out + bodies
+
+
+# -- EXIF ---------------------------------------------------------------------------------------------------------------
+
+#: Names of the usual tags (fixed values).
+TAGS = {
+    0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x011A: "XResolution", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x829A: "ExposureTime",
+    0x829D: "FNumber", 0x8827: "ISO", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized", 0x920A: "FocalLength", 0xA430: "CameraOwner", 0xA431: "BodySerialNumber", 0xA434: "LensModel",
+}
+GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 6: "GPSAltitude", 7: "GPSTimeStamp", 29: "GPSDateStamp"}
+_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+
+
+def tiff_fields(data: bytes) -> dict[str, str]:
+    """Named fields of a TIFF structure's directories; unsigned rationals are read as such."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    if order is None:
+        raise FormatError("no TIFF structure")
+    out: dict[str, str] = {}
+    seen: set[int] = set()
+
+    def directory(at: int, names: dict[int, str]) -> None:
+        if at in seen or not 8 <= at <= len(data) - 2:
+            return
+        seen.add(at)
+        for k in range(struct.unpack_from(order + "H", data, at)[0]):
+            place = at + 2 + 12 * k
+            if place + 12 > len(data):
+                return
+            tag, kind, count = struct.unpack_from(order + "HHI", data, place)
+            size = _SIZES.get(kind, 0) * count
+            start = place + 8 if size <= 4 else struct.unpack_from(order + "I", data, place + 8)[0]
+            if not size or start + size > len(data):
+                continue
+            if tag in (0x8769, 0x8825) and kind == 4:
+                directory(struct.unpack_from(order + "I", data, start)[0], GPS_TAGS if tag == 0x8825 else TAGS)
+            elif tag in names:
+                if kind in (2, 7):
+                    value = data[start : start + size].split(b"\0")[0].decode("utf-8", "replace").strip()
+                elif kind in (5, 10):
+                    parts = struct.unpack_from(f"{order}{2 * count}{'I' if kind == 5 else 'i'}", data, start)
+                    value = " ".join(f"{a}/{b}" for a, b in zip(parts[::2], parts[1::2], strict=True))
+                else:
+                    value = " ".join(map(str, struct.unpack_from(f"{order}{count}{_CODES[kind]}", data, start)))
+                if value:
+                    out[names[tag]] = value
+
+    directory(struct.unpack_from(order + "I", data, 4)[0], TAGS)
+    return out
+
+
+def exif_fields(data: bytes) -> dict[str, str]:
+    """The EXIF fields of a JPEG, PNG, WebP or TIFF; none where the picture has no EXIF."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return tiff_fields(data)
+    for s in segments(data):
+        body = data[s.offset : s.offset + s.length]
+        if s.kind == "exif_xmp" and body[4:10] == b"Exif\0\0":
+            return tiff_fields(body[10:])
+        if s.kind == "exif":
+            return tiff_fields(body[8:].removeprefix(b"Exif\0\0"))
+    return {}
