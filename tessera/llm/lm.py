@@ -34,19 +34,21 @@ STEP = 0.05
 _SLICE = 4 << 20
 _END, _START = U64(0x0E0D), U64(0x57A7)
 _24 = U64((1 << 24) - 1)
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] += 32
 
 
 def _sliced(docs: DataFrame) -> DataFrame:
-    """Slices of documents: number, ids (null ids: a mask), whether held out, offsets, and the compressed text."""
+    """Slices of documents: number, ids (null ids: a mask), whether held out, offsets, and the lower-cased text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=9)
         for batch in slices(batches, "text", _SLICE):
             data, at = text_buffers(batch.column(1))
             ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            fields = (ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), held.astype(bool).tobytes(), at.tobytes(), pack.compress(data.tobytes()))
+            fields = (ids.fill_null(0).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), held.astype(bool).tobytes(), at.tobytes(), pack.compress(_lower[data].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in fields)], names=["slice", "ids", "nulls", "held", "at", "text"])
             number += 1
 
