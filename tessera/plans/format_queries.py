@@ -102,7 +102,7 @@ def csv_to_json(spark, sf_dir):
     return V.convert_text(rows, "csv_to_json", "c_custkey", "text", infer=True).select("c_custkey", "output")
 
 
-@query("SELECT n_nationkey, 'id,name' || chr(10) || n_nationkey || ',' || n_name || chr(10) || ',it''s' || chr(10) AS output FROM nation")
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'id,name' || chr(10) || n_nationkey || ',' || n_name || chr(10) || ',it''s' || chr(10) AS output FROM nation")
 def sql_to_csv(spark, sf_dir):
     dump = _text("-- dump\nCREATE TABLE `nation` (id INT, name VARCHAR(25), PRIMARY KEY (id));\nINSERT INTO nation VALUES (", "{n_nationkey}", ",'", "{n_name}", "'),(NULL,'it''s');")
     return V.convert_text(table(spark, sf_dir, "nation").select("n_nationkey", dump.alias("text")), "sql_to_csv", "n_nationkey", "text").select("n_nationkey", "output")
@@ -180,7 +180,7 @@ def html_docx_text(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT n_regionkey AS page_id, string_agg('<tr><td>' || n_nationkey || '<td>' || n_name, '' ORDER BY n_nationkey) AS h, string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey) AS c FROM nation GROUP BY 1)
+WITH t AS (SELECT n_regionkey::BIGINT AS page_id, string_agg('<tr><td>' || n_nationkey || '<td>' || n_name, '' ORDER BY n_nationkey) AS h, string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey) AS c FROM nation GROUP BY 1)
 SELECT page_id, 'id,name' || chr(10) || c AS output FROM t""")
 def html_to_csv(spark, sf_dir):
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<tr><td>"), x["n_nationkey"].cast("string"), F.lit("<td>"), x["n_name"])), "")

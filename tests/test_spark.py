@@ -132,6 +132,8 @@ def test_query_equals_sql(spark, sf, con, name):
         return
     want = con.sql(registry.ORACLES[name])
     assert sorted(want.columns) == names
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]"}
+    assert {c: kinds.get(t, t) for c, t in df.dtypes} == {c: str(t) for c, t in zip(want.columns, want.types, strict=True)}
     at = [want.columns.index(c) for c in names]
     assert sorted((tuple(norm(r[c]) for c in names) for r in rows), key=repr) == sorted((tuple(norm(r[k]) for k in at) for r in want.fetchall()), key=repr)
 
