@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 15
 
 _is_sep = np.zeros(256, dtype=bool)
 _is_sep[[0x20, *range(0x09, 0x0E)]] = True
@@ -94,7 +94,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Zero-copy pieces of the batches with about `limit` bytes of text each, one row at least; no row is cut."""
+    """Zero-copy pieces of the batches with about `limit` bytes of text and SLICE_ROWS rows each at most, one row at least; no row is cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -102,7 +102,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         _, at = text_buffers(texts)
         first = 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
+            last = min(max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1), first + SLICE_ROWS)
             yield batch.slice(first, last - first)
             first = last
 
