@@ -195,15 +195,16 @@ def _prefix_keys(packed: DataFrame, parts: int, percent: int) -> DataFrame:
     return packed.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(choose, graph.STAR_KEYS)
 
 
-def _dealt(members: DataFrame, percent: int) -> DataFrame:
-    """(id, side, block): the blocks in which each document of a component meets others. members: id, root, n."""
+def _dealt(members: DataFrame, percent: int, weight: str | None = None) -> DataFrame:
+    """(id, side, block): the blocks in which each document of a component meets others. members: id, root, n, and `weight` where a member counts for several."""
     width = math.log(100 / percent) * 1.0001
-    sizes = members.groupBy("root").count().withColumnRenamed("count", "size")
+    total = F.sum(weight) if weight else F.count("*")
+    sizes = members.groupBy("root").agg(total.alias("size"))
     members = members.join(sizes, "root").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
     small, large = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
-    bins = max(1, -(-small.count() // BLOCK))
+    bins = max(1, -(-(small.agg(total).first()[0] or 0) // BLOCK))
     few = small.select("id", F.lit(0).alias("side"), F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"))
-    bands = large.groupBy("root", "band").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
+    bands = large.groupBy("root", "band").agg(F.ceil(total / (BLOCK // 2)).cast("int").alias("blocks"))
     above = bands.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     shape = bands.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")

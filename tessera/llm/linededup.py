@@ -5,7 +5,8 @@
    bins filled from the next full one, gives 12 bands of 5: a pair of Jaccard similarity 0.8 meets in some band with
    probability 1 - (1 - 0.8 ** 5) ** 12 = 0.99, one of 0.9 almost surely.
 3. Each line is compared with the smallest id of each of its buckets, by the exact Jaccard similarity of their sets (0.8 or
-   more links), so a bucket of any size costs one comparison a line.
+   more links). Where that leaves a component of lines that share buckets in several groups, all its lines meet in blocks, as
+   op2's documents do, so every pair that a band found is compared or known to be joined. Only such components cost a square.
 4. Distributed union-find joins the links. Of a component's places (doc_id, line number) the smallest stays, all others go.
 
 Lines end with U+000A. Blank lines (of U+0020 and U+0009 to U+000D) are no lines here and stay. Null text stays null, empty text empty. Rows with equal doc_id
@@ -23,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import graph, store
+from tessera.llm import graph, jaccard, store
 from tessera.llm.textkernel import U64, distinct, exact_value, inverse_powers, mix, prefix_hash, scatter, slices, span_hash, text_buffers
 
 SHINGLE, PERCENT = 8, 80
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
+#: Bytes of a line that count as one line in a block.
+WEIGHT = 1024
 #: Stands for an empty bin; the one hash in 2**32 that equals it counts as empty too.
 _EMPTY = np.uint32(0xFFFFFFFF)
 _SPACES = " \t\n\x0b\x0c\r"
@@ -136,7 +139,7 @@ def _bands(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line) of wanted (id, doc_id, line) places."""
+    """(id, n, text) of wanted (id, doc_id, line) places, with the sizes of their sets."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +154,21 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at, ids = at[sound], ids[sound]
             at, ids = at[lines.id[at] == ids], ids[lines.id[at] == ids]
             text = [lines.data[s:e].tobytes() for s, e in zip(lines.start[at].tolist(), lines.end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(text, pa.binary()).cast(pa.string())], names=["id", "text"])
+            own = pa.array(text, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(x) for x in line_sets(own)], pa.int64()), own], names=["id", "n", "text"])
 
     # the lists grow with the corpus: never broadcast
-    return docs.join(lists.hint("merge"), docs["doc_id"].eqNullSafe(lists["doc_id"])).select("text", "wanted").mapInArrow(run, "id long, text string")
+    return docs.join(lists.hint("merge"), docs["doc_id"].eqNullSafe(lists["doc_id"])).select("text", "wanted").mapInArrow(run, "id long, n long, text string")
+
+
+def line_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each text, which is a single line."""
+    hashes, owner = Lines(texts).shingles()
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))) if len(hashes) else np.zeros(0, bool)
+    hashes, owner = hashes[new], owner[new]
+    return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts)))) if len(texts) else []
 
 
 def similar(a: pa.Array, b: pa.Array, percent: int = PERCENT) -> np.ndarray:
@@ -180,6 +194,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _open_members(pairs: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, root, n, weight) of the lines of components of pairs whose lines are in several groups so far."""
+    roots = graph.components(pairs)
+    state = roots.join(grouped.withColumnRenamed("root", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    state = store.materialise(state, "state")
+    several = state.groupBy("root").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("root")
+    sizes = texts.groupBy("id").agg(F.first("n").alias("n"), F.ceil(F.first(F.octet_length("text")) / F.lit(WEIGHT)).alias("weight"))
+    members = store.materialise(state.join(several.hint("merge"), "root").join(sizes.hint("merge"), "id").select("id", "root", "n", "weight"), "members")
+    store.discard(roots, state)
+    return members
+
+
+def _block_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stars of a spanning forest of the links of each block."""
+
+    def product(table: pa.Table) -> pa.Table:
+        a, b = jaccard.block_links(table.column("id").to_numpy(), table.column("side").to_numpy(), line_sets(table.column("text").combine_chunks()), PERCENT)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return texts.select("id", "text").join(dealt.hint("merge"), "id").groupBy("block").applyInArrow(product, "a long, b long")
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of each document's lines that go."""
     store.bounded(docs.sparkSession)
@@ -191,8 +227,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.line")), "lines")
     links = store.materialise(_verified(pairs, texts), "links")
-    store.discard(pairs, texts)
-    united = graph.components(links)
+    led = graph.components(links)
+    members = _open_members(pairs, led, texts)
+    dealt = store.materialise(jaccard._dealt(members, PERCENT, "weight"), "dealt")
+    more = store.materialise(_block_links(dealt, texts), "more")
+    united = graph.components(led.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+    store.discard(pairs, texts, led, members, dealt, more)
     grouped = firsts.join(united, "id", "left")
     # written first, so that the join below deals out both sides anew and a large component can be split
     keepers = store.materialise(grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("keeper")), "roots")

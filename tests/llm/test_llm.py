@@ -211,6 +211,17 @@ def test_lines_of_empty_and_repeated(spark):
     assert [r.text for r in rows] == ["one line"] * 2
 
 
+def test_lines_of_one_template_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    template = "".join(rng.choices(letters, k=200))
+    texts = [template + "".join(rng.choices(letters, k=34)) for _ in range(120)]  # below 0.8 to one another
+    texts += [x[:-20] + "".join(rng.choices(letters, k=20)) for x in texts[:40]]  # just above it to one each
+    got = {r.doc_id: set(r.lines) for r in linededup.dropped_lines(frame(spark, texts)).collect()}
+    assert got == kept_by_brute_force(texts) and len(got) == 40
+
+
 def test_bands_find_near_lines():
     rng = np.random.default_rng(1)
     hits = 0
