@@ -7,11 +7,11 @@
 3. Each line is compared with the smallest id of each of its buckets, by the exact Jaccard similarity of their sets (0.8 or
    more links). Where that leaves a component of lines that share buckets in several groups, all its lines meet in blocks, as
    op2's documents do, so every pair that a band found is compared or known to be joined. Only such components cost a square.
-4. Distributed union-find joins the links. Of a component's places (doc_id, line number) the smallest stays, all others go.
+4. Distributed union-find joins the links. Of a component's places (doc_id, hash of the text, line number) the smallest stays, all others go.
 
 Lines end with U+000A. Blank lines (of U+0020 and U+0009 to U+000D) are no lines here and stay. Null text stays null, empty text empty. Rows with equal doc_id
-and text count as one document: they keep the same lines. A doc_id that is null takes part like a value of its own and sorts
-first. Very long texts and lines are taken whole. An empty table gives an empty result. Other columns are kept as they are.
+and text count as one document: they keep the same lines. Rows of one doc_id with different texts are documents of their own.
+A doc_id that is null takes part like a value of its own and sorts first. Very long texts and lines are taken whole. An empty table gives an empty result. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import graph, jaccard, store
@@ -107,16 +107,21 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
+def _row(text: Column) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _places(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, line) of every line that isn't blank."""
+    """(id, doc_id, row, line) of every line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lines = Lines(batch.column(1))
             keep = np.flatnonzero(~lines.blank)
-            yield pa.RecordBatch.from_arrays([pa.array(lines.id[keep]), batch.column(0).take(pa.array(lines.doc[keep])), pa.array(lines.number[keep])], names=["id", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.id[keep]), *(batch.column(k).take(pa.array(lines.doc[keep])) for k in (0, 2)), pa.array(lines.number[keep])], names=["id", "doc_id", "row", "line"])
 
-    return docs.mapInArrow(run, "id long, doc_id long, line long")
+    return docs.mapInArrow(run, "id long, doc_id long, row long, line long")
 
 
 def _bands(docs: DataFrame, parts: int) -> DataFrame:
@@ -139,8 +144,8 @@ def _bands(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, text) of wanted (id, doc_id, line) places, with the sizes of their sets."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    """(id, n, text) of wanted (id, doc_id, row, line) places, with the sizes of their sets."""
+    lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -158,7 +163,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(x) for x in line_sets(own)], pa.int64()), own], names=["id", "n", "text"])
 
     # the lists grow with the corpus: never broadcast
-    return docs.join(lists.hint("merge"), docs["doc_id"].eqNullSafe(lists["doc_id"])).select("text", "wanted").mapInArrow(run, "id long, n long, text string")
+    return docs.join(lists.hint("merge"), docs["doc_id"].eqNullSafe(lists["doc_id"]) & (docs["row"] == lists["row"])).select("text", "wanted").mapInArrow(run, "id long, n long, text string")
 
 
 def line_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -217,15 +222,15 @@ def _block_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines): the numbers, from 0, of each document's lines that go."""
+    """(doc_id, row, lines): the numbers, from 0, of each document's lines that go. row: _row() of its text."""
     store.bounded(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row(F.col("text")).alias("row"))
     parts = graph.part_count(docs)
     places = store.materialise(_places(docs), "places")
-    firsts = store.materialise(places.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "firsts")
+    firsts = store.materialise(places.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n")), "firsts")
     pairs = store.materialise(graph.stars(_bands(docs, parts)).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.line")), "lines")
+    texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.row", "first.line")), "lines")
     links = store.materialise(_verified(pairs, texts), "links")
     led = graph.components(links)
     members = _open_members(pairs, led, texts)
@@ -238,15 +243,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     keepers = store.materialise(grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("keeper")), "roots")
     kept = grouped.where((F.col("n") > 1) | F.col("root").isNotNull()).join(keepers, "root", "left").select("id", F.coalesce("keeper", "first").alias("keeper"))
     kept = store.materialise(kept, "keepers")
-    gone = places.join(kept, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("keeper")))
-    gone = store.materialise(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    gone = places.join(kept, "id").where(~F.struct("doc_id", "row", "line").eqNullSafe(F.col("keeper")))
+    gone = store.materialise(gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines")), "gone")
     store.discard(links, united, keepers, kept, firsts, places)
     return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with text without the lines that go, and n_lines, n_dropped (blank lines aside). Columns of these two names are replaced."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
+    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
     docs = docs.drop("n_lines", "n_dropped")
     schema = docs.schema
     text_at = schema.names.index("text")
@@ -264,7 +269,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*schema.names, "n_lines", "n_dropped"])
 
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (_row(docs["text"]) == gone["_row"]), "left")
     return joined.select(*(docs[f"`{x}`"] for x in schema.names), "_lines").mapInArrow(run, ddl)
 
 

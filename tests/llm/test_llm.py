@@ -222,6 +222,14 @@ def test_lines_of_one_template_equal_brute_force(spark, monkeypatch):
     assert got == kept_by_brute_force(texts) and len(got) == 40
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    texts, ids = ["a\nx", "b\na", "c\na\nb", None, "p\nq", "r\np", "p\nq"], [None, None, None, None, 7, 7, 7]
+    rows = [(r.doc_id, *(r.text or "").split("\n"), r.n_dropped) for r in linededup.dedup_lines(frame(spark, texts, ids=ids)).collect()]
+    kept = {k: sorted(x for own in {r[:-1] for r in rows if r[0] == k} for x in own[1:] if x) for k in (None, 7)}
+    assert kept == {None: ["a", "b", "c", "x"], 7: ["p", "q", "r"]} and sum(r[-1] for r in rows if r[0] is None) == 3
+    assert len(rows) == 7 and len([r for r in rows if r[0] == 7 and "q" in r]) == 2
+
+
 def test_bands_find_near_lines():
     rng = np.random.default_rng(1)
     hits = 0
