@@ -11,13 +11,7 @@ from tessera.operators.convert import KERNELS
 
 #: Operations done by relational functions over page, line, word or file tables (operation: function).
 PLANNED = {
-    
-    "merge_pdfs": "convert.packed", 
-    
-    
-    "ocr_text": "columns.ocr_normalize", "compress_video": "columns.video_bitrate",
-    "burn_subtitles": "relational.interval_lookup", "video_trim": "columns.time_ranges", "pack_zip": "convert.packed", "pack_tar": "convert.packed", "audio_merge": "convert.packed", "images_to_pdf": "convert.packed", "images_to_gif": "convert.packed",
-    "fill_pdf_form": "columns.form_values", 
+    "merge_pdfs": "convert.packed", "pack_zip": "convert.packed", "pack_tar": "convert.packed", "audio_merge": "convert.packed", "images_to_pdf": "convert.packed", "images_to_gif": "convert.packed",
 }
 
 _PIXELS, _FRAMES, _SOUND, _PDF = "needs a lossy codec or a text renderer", "needs a video codec", "needs an audio codec", "needs a PDF renderer or cipher"
@@ -28,6 +22,11 @@ UNSUPPORTED = {
     **dict.fromkeys(("extract_audio",), _SOUND),
     **dict.fromkeys(("compress_pdf", "pdf_to_images", "encrypt_pdf", "decrypt_pdf"), _PDF),
     **dict.fromkeys(("unpack_rar",), "needs an unpacker that isn't installed"),
+    "ocr_text": "needs an OCR engine; columns.ocr_normalize only cleans text that was recognised elsewhere",
+    "compress_video": f"{_FRAMES}; columns.video_bitrate only gives the bit rate",
+    "burn_subtitles": f"{_FRAMES}; relational.interval_lookup only finds the cue of each time",
+    "video_trim": "cutting videos isn't implemented; columns.time_ranges only reads the ranges",
+    "fill_pdf_form": "filling PDF forms isn't implemented; columns.form_values only reads the values",
 }
 
 

@@ -107,6 +107,11 @@ def test_catalogue(spark):
     assert set(V.KERNELS) <= {o.name for o in found}
 
 
+def test_catalogue_claims_no_helper_as_an_operation():
+    done = {o.name: o.done_by for o in catalogue.operations() if o.done_by}
+    assert all(by == f"convert.{name}" and name in V.KERNELS or by == "convert.packed" for name, by in done.items())
+
+
 def norm(v):
     if isinstance(v, float | decimal.Decimal):
         return "nan" if math.isnan(v) else round(float(v), 6)
