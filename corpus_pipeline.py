@@ -19,7 +19,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The model learns from the labelled documents that arrive here, but for the held-out quarter."""
     model = language.fit(docs.where(language.remainder(4) != 2))
-    return language.predict(docs, model, docs.columns).where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    return language.predict(docs, model, docs.columns).where("n_words > 0").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -402,6 +402,11 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in seen.collect()}
 
 
+def test_language_stage_without_labels(spark, sf):
+    docs = frame(spark, HARD).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, sf).collect()} == {k for k, x in enumerate(HARD) if any(c.isalpha() for c in x or "")}
+
+
 def test_pipeline_equals_brute_force(spark, sf):
     texts = {k: x for k, x in enumerate([*corpus(21)[:150], "²³", "line one is here\nline two is there", "line one is here\nsomething else entirely"])}
     docs = frame(spark, list(texts.values()))
