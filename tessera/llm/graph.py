@@ -65,8 +65,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         stars = store.materialise(edges.mapInArrow(_contract, "id long, root long"), "stars")
         best = stars.groupBy("id").agg(F.min("root").alias("root"))
-        levels.append(best)
         written.append(stars)
+        if levels:
+            # written, so that the joins below deal out both sides anew and a large component can be split
+            best = store.materialise(best, "level")
+            written.append(best)
+        levels.append(best)
         own = best.select(F.col("id"), F.col("root").alias("b"))
         edges = store.materialise(stars.join(own, "id").where("root <> b").select(F.col("root").alias("a"), "b").distinct(), "conflicts")
         written.append(edges)

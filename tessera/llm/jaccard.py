@@ -16,7 +16,7 @@ A document's set holds the hashes of its distinct 5-word shingles (see textkerne
 5. Links and classes are united by distributed union-find.
 
 Null, empty and blank texts have no shingles and link with nothing. Texts under five words have their whole word sequence as
-one shingle. Rows with equal doc_id count as one document. Very long texts are taken whole. Null ids are dropped. An empty
+one shingle. Rows with equal doc_id count as one document, whose links are those of all its texts. Very long texts are taken whole. Null ids are dropped. An empty
 table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
@@ -29,15 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import graph, store
 from tessera.llm.textkernel import distinct, shingle_sets, slices, text_buffers
 
 WORDS, PERCENT = 5, 80
-#: Documents in a block; a component of more is cut into blocks of half that.
-BLOCK = 1024
+#: Documents in a block; a component of more is cut into blocks of half that. A document counts as one for every WEIGHT columns it has.
+BLOCK, WEIGHT = 1024, 2048
 _SLICE = 2 << 20
 _LOCAL = 0xFFFF
 
@@ -65,8 +65,13 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
 
+def row_hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _screen(docs: DataFrame, parts: int, words: int) -> DataFrame:
-    """doc_id, n, digest, shared: how many of a document's columns another document has as well."""
+    """doc_id, row, n, digest, shared: how many of a document's columns another document has as well. docs: doc_id, text, row."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _slice_id()
@@ -81,7 +86,8 @@ def _screen(docs: DataFrame, parts: int, words: int) -> DataFrame:
             # a column of one document asks for it; one of several is known to be shared and only announced
             owner = np.where(single, doc[order], _LOCAL)[first].astype(np.uint16)
             keys = ranked[first]
-            rows = [(number % parts, number, ids.tobytes(), np.array([len(x) for x in sets], np.int64).tobytes(), b"".join(map(_digest, sets)), base.astype(np.int64).tobytes(), None, None)]
+            own = batch.column(2).to_numpy(zero_copy_only=False)
+            rows = [(number % parts, number, np.concatenate([ids, own]).tobytes(), np.array([len(x) for x in sets], np.int64).tobytes(), b"".join(map(_digest, sets)), base.astype(np.int64).tobytes(), None, None)]
             for part, start, end in graph.cuts(graph.part_of(keys, parts)):
                 rows.append((part, number, None, None, None, None, (keys[start:end] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), owner[start:end].tobytes()))
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
@@ -119,13 +125,13 @@ def _screen(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 shared += np.bincount(np.frombuffer(r["found"], np.uint16), minlength=len(shared))
         digests = head["digests"]
         return pa.table({
-            "doc_id": pa.array(np.frombuffer(head["ids"], np.int64)), "n": pa.array(np.frombuffer(head["n"], np.int64)),
+            **dict(zip(("doc_id", "row"), map(pa.array, np.frombuffer(head["ids"], np.int64).reshape(2, -1)), strict=True)), "n": pa.array(np.frombuffer(head["n"], np.int64)),
             "digest": pa.array([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary()), "shared": pa.array(shared),
         })
 
     asked = docs.mapInArrow(ask, "part int, slice long, ids binary, n binary, digests binary, base binary, keys binary, owners binary")
     replies = asked.groupBy("part").applyInArrow(reply, "slice long, ids binary, n binary, digests binary, base binary, found binary")
-    return replies.groupBy("slice").applyInArrow(total, "doc_id long, n long, digest binary, shared long")
+    return replies.groupBy("slice").applyInArrow(total, "doc_id long, row long, n long, digest binary, shared long")
 
 
 def _pack(docs: DataFrame, words: int) -> DataFrame:
@@ -195,26 +201,30 @@ def _prefix_keys(packed: DataFrame, parts: int, percent: int) -> DataFrame:
     return packed.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(choose, graph.STAR_KEYS)
 
 
-def _dealt(members: DataFrame, percent: int, weight: str | None = None) -> DataFrame:
-    """(id, side, block): the blocks in which each document of a component meets others. members: id, root, n, and `weight` where a member counts for several."""
+def dealt_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(id, side, block), a written table: the blocks in which each member of a component meets others. members: id, root, n (size of the set),
+    weight (for how many it counts in a block)."""
     width = math.log(100 / percent) * 1.0001
-    total = F.sum(weight) if weight else F.count("*")
-    sizes = members.groupBy("root").agg(total.alias("size"))
-    members = members.join(sizes, "root").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
-    small, large = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
-    bins = max(1, -(-(small.agg(total).first()[0] or 0) // BLOCK))
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
+    own = Window.partitionBy("root")
+    near = lambda step: F.coalesce(F.max("blocks").over(own.orderBy("band").rangeBetween(step, step)), F.lit(0))
+    shape = members.groupBy("root", "band").agg(F.sum("weight").alias("load")).withColumn("total", F.sum("load").over(own))
+    shape = shape.withColumn("blocks", F.ceil(F.col("load") / (BLOCK // 2)).cast("int")).withColumn("above", near(1)).withColumn("below", near(-1))
+    # a row for each component and band; written, so that the join deals out both sides anew and a large component can be split
+    shape = store.materialise(shape, "shape")
+    bins = max(1, -(-(shape.where(F.col("total") <= BLOCK).agg(F.sum("load")).first()[0] or 0) // BLOCK))
+    joined = members.join(shape.drop("load").hint("merge"), ["root", "band"])
+    small, large = joined.where(F.col("total") <= BLOCK), joined.where(F.col("total") > BLOCK)
     few = small.select("id", F.lit(0).alias("side"), F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"))
-    bands = large.groupBy("root", "band").agg(F.ceil(total / (BLOCK // 2)).cast("int").alias("blocks"))
-    above = bands.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = bands.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    shape = bands.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
-    own = large.join(shape, ["root", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.col("i") > j).cast("int").alias("side"), F.concat_ws("_", F.col("root"), F.col("band"), F.least(F.col("i"), j), F.lit("="), F.greatest(F.col("i"), j)).alias("block"))),
         F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(F.lit(0).alias("side"), F.concat_ws("_", F.col("root"), F.col("band"), F.col("i"), F.lit("<"), j).alias("block")))).otherwise(F.array()),
         F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.struct(F.lit(1).alias("side"), F.concat_ws("_", F.col("root"), F.col("band") - 1, j, F.lit("<"), F.col("i")).alias("block")))).otherwise(F.array()),
     )
-    return few.unionByName(own.select("id", F.explode(pairs).alias("to")).select("id", "to.side", "to.block"))
+    dealt = store.materialise(few.unionByName(large.select("id", F.explode(pairs).alias("to")).select("id", "to.side", "to.block")), "dealt")
+    store.discard(shape)
+    return dealt
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -292,29 +302,29 @@ def _links(packed: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every document."""
+    """doc_id, row (row_hash of the text), n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every document."""
     store.bounded(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_hash(F.col("text")).alias("row")).where(F.col("doc_id").isNotNull())
     parts = graph.part_count(docs)
-    screened = store.materialise(_screen(docs, parts, words), "screened")
+    screened = store.materialise(_screen(docs, parts, words), "screened", sweep=True)
     classes = screened.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
     likely = store.materialise(classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100)).select(F.col("rep").alias("doc_id"), "digest", "n"), "likely")
     # the list of likely documents grows with the corpus: never broadcast
-    packed = store.materialise(_pack(docs.join(likely.select("doc_id", "digest").hint("merge"), "doc_id"), words), "packed")
-    prefixes = store.materialise(graph.stars(_prefix_keys(packed, parts, percent)), "prefixes")
+    packed = store.materialise(_pack(docs.drop("row").join(likely.select("doc_id", "digest").hint("merge"), "doc_id"), words), "packed", sweep=True)
+    prefixes = store.materialise(graph.stars(_prefix_keys(packed, parts, percent)), "prefixes", sweep=True)
     roots = graph.components(prefixes)
-    members = store.materialise(roots.join(likely.select(F.col("doc_id").alias("id"), "n"), "id"), "members")
-    dealt = store.materialise(_dealt(members, percent), "dealt")
-    links = store.materialise(_links(packed, dealt, percent), "links")
+    members = store.materialise(roots.join(likely.select(F.col("doc_id").alias("id"), "n").hint("merge"), "id").withColumn("weight", F.ceil(F.col("n") / WEIGHT)), "members")
+    dealt = dealt_blocks(members, percent)
+    links = store.materialise(_links(packed, dealt, percent), "links", sweep=True)
     store.discard(likely, packed, prefixes, roots, members, dealt)
     united = graph.components(links)
     # written first, so that the last join deals out both sides anew and a large class can be split
     of_class = classes.select("digest", "rep").join(united.select(F.col("id").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     of_class = store.materialise(of_class, "classes")
     store.discard(links, united)
-    found = screened.where("n > 0").select("doc_id", "n", "digest").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(screened.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = screened.where("n > 0").select("doc_id", "row", "n", "digest").join(of_class, "digest").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id")
+    return found.unionByName(screened.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(store.documents(spark, sf_dir))
+    return near_duplicates(store.documents(spark, sf_dir)).drop("row")

@@ -6,11 +6,13 @@ worth the product over its words. The probabilities come from expectation-maximi
 of a bounded sample of labelled documents.
 
 Bounds of the fit, all parameters: about `sample_docs` documents a language, taken evenly by a hash of the id; the
-`most_languages` commonest labels; the `sample_words` commonest words of each. Everything else covers whole texts.
+`most_languages` commonest labels; the `sample_words` commonest words of each, of up to CHUNK characters. Everything else
+covers whole texts, however long.
 
 A word is a run of letters, lower-cased. Text that is null or has no letter is `und` with score 0. The score is the posterior
 probability of the predicted language under equal priors; ties go to the language that sorts first. Without any labelled row
-every text is `und`. Repeated rows get equal results; columns other than doc_id, text and lang (for the fit) are ignored.
+every text is `und`. Repeated rows get equal results; a null doc_id stays null; an empty table gives an empty result. Columns other than
+doc_id, text and lang (for the fit) are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from tessera.llm.textkernel import slices
 from tessera.llm.wordtokens import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS, MOST_LANGUAGES = 500, 4000, 64
+SAMPLE_DOCS, SAMPLE_WORDS, MOST_LANGUAGES = 500, 4000, 256
 ROUNDS = 3
 #: Pseudo-count of every piece, and the probability of a character that no piece covers.
 SMOOTH, UNKNOWN = 0.02, 1e-7
 MARK = "▁"
-ENTRIES, CHUNK = 1 << 19, 48
+ENTRIES, CHUNK = 1 << 18, 48
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -182,22 +184,26 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAM
     return model
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, lang_score (0 to 1) and n_words beside the kept columns (doc_id), from the text alone."""
-    store.bounded(docs.sparkSession)
-    keep = keep or ["doc_id"]
-    kept = docs.select(*keep).schema
-    names = [*keep, "lang_pred", "lang_score", "n_words"]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "lang_score double", "n_words long"])
-    own_text = "text" in keep
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, found: tuple[str, str, str] = ("lang_pred", "lang_score", "n_words")) -> DataFrame:
+    """Language, score (0 to 1) and number of words beside the kept columns (doc_id), from the text alone; `found` names the three, and
+    kept columns of these names are replaced. The model goes out once to each executor."""
+    spark = docs.sparkSession
+    store.bounded(spark)
+    keep = [x for x in keep or ["doc_id"] if x.lower() not in {y.lower() for y in found}]
+    kept = docs.select(*(docs[f"`{x}`"] for x in keep)).schema
+    names = [*keep, *found]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{x}` {kind}" for x, kind in zip(found, ("string", "double", "long"), strict=True))])
+    own = [x.lower() for x in keep].index("text") if "text" in map(str.lower, keep) else len(keep)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            rows = [model.score(x) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            lang, score, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=names)
+        score = sent.value.score
+        for batch in slices(batches, [*keep, "text"][own], 1 << 20):
+            rows = [score(x) for x in batch.column(own).to_pylist()]
+            lang, posterior, n = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(posterior, pa.float64()), pa.array(n, pa.int64())], names=names)
 
-    return docs.select(*keep, *["text"] * (not own_text)).mapInArrow(run, ddl)
+    return docs.select(*(docs[f"`{x}`"] for x in keep), *[docs["text"]] * (own == len(keep))).mapInArrow(run, ddl)
 
 
 def remainder(modulus: int) -> Column:

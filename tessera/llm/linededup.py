@@ -200,14 +200,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _open_members(pairs: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, root, n, weight) of the lines of components of pairs whose lines are in several groups so far."""
+    """(id, root, n, weight) of the lines of components of pairs whose lines are in several groups so far, a written table."""
     roots = graph.components(pairs)
     state = roots.join(grouped.withColumnRenamed("root", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
-    state = store.materialise(state, "state")
-    several = state.groupBy("root").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("root")
+    # written, so that the next join deals out both sides anew and a large component can be split
+    several = store.materialise(state.groupBy("root").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("root"), "several")
     sizes = texts.groupBy("id").agg(F.first("n").alias("n"), F.ceil(F.first(F.octet_length("text")) / F.lit(WEIGHT)).alias("weight"))
-    members = store.materialise(state.join(several.hint("merge"), "root").join(sizes.hint("merge"), "id").select("id", "root", "n", "weight"), "members")
-    store.discard(roots, state)
+    members = store.materialise(roots.join(several.hint("merge"), "root").join(sizes.hint("merge"), "id").select("id", "root", "n", "weight"), "members")
+    store.discard(roots, several)
     return members
 
 
@@ -226,39 +226,44 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     store.bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row(F.col("text")).alias("row"))
     parts = graph.part_count(docs)
-    places = store.materialise(_places(docs), "places")
+    # cut into lines twice rather than written: files are dearer than a second pass over the texts
+    places = _places(docs)
     firsts = store.materialise(places.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n")), "firsts")
-    pairs = store.materialise(graph.stars(_bands(docs, parts)).distinct(), "pairs")
+    pairs = store.materialise(graph.stars(_bands(docs, parts)).distinct(), "pairs", sweep=True)
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.row", "first.line")), "lines")
+    texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.row", "first.line")), "lines", sweep=True)
     links = store.materialise(_verified(pairs, texts), "links")
-    led = graph.components(links)
-    members = _open_members(pairs, led, texts)
-    dealt = store.materialise(jaccard._dealt(members, PERCENT, "weight"), "dealt")
-    more = store.materialise(_block_links(dealt, texts), "more")
-    united = graph.components(led.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
-    store.discard(pairs, texts, led, members, dealt, more)
+    united = graph.components(links)
+    members = _open_members(pairs, united, texts)
+    if not members.isEmpty():
+        dealt = jaccard.dealt_blocks(members, PERCENT)
+        more = store.materialise(_block_links(dealt, texts), "more")
+        led, united = united, graph.components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+        store.discard(led, dealt, more)
+    store.discard(pairs, texts, links, members)
     grouped = firsts.join(united, "id", "left")
     # written first, so that the join below deals out both sides anew and a large component can be split
     keepers = store.materialise(grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("keeper")), "roots")
     kept = grouped.where((F.col("n") > 1) | F.col("root").isNotNull()).join(keepers, "root", "left").select("id", F.coalesce("keeper", "first").alias("keeper"))
     kept = store.materialise(kept, "keepers")
     gone = places.join(kept, "id").where(~F.struct("doc_id", "row", "line").eqNullSafe(F.col("keeper")))
-    gone = store.materialise(gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines")), "gone")
-    store.discard(links, united, keepers, kept, firsts, places)
+    gone = store.materialise(gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines")), "gone", sweep=True)
+    store.discard(united, keepers, kept, firsts)
     return gone
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with text without the lines that go, and n_lines, n_dropped (blank lines aside). Columns of these two names are replaced."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
-    docs = docs.drop("n_lines", "n_dropped")
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with text without the lines that go, and how many lines they had and lost (blank lines aside) in two columns named by `counts`.
+    Columns of these two names are replaced."""
+    docs = docs.drop(*(x for x in docs.columns if x.lower() in {y.lower() for y in counts}))
     schema = docs.schema
-    text_at = schema.names.index("text")
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_lines long", "n_dropped long"])
+    key, row, off = store.fresh([*docs.columns, *counts], "gone_id", "gone_row", "gone_lines")
+    gone = dropped_lines(docs).select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col("lines").alias(off))
+    text_at = [x.lower() for x in schema.names].index("text")
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`{x}` long" for x in counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, schema.names[text_at]):
             out, lines, dropped = [], [], []
             for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(len(schema)).to_pylist(), strict=True):
                 split = text.split("\n") if text else []
@@ -267,10 +272,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 dropped.append(len(gone or ()))
             columns = [*batch.columns[: len(schema)]]
             columns[text_at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*schema.names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*schema.names, *counts])
 
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (_row(docs["text"]) == gone["_row"]), "left")
-    return joined.select(*(docs[f"`{x}`"] for x in schema.names), "_lines").mapInArrow(run, ddl)
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone[key]) & (_row(docs["text"]) == gone[row]), "left")
+    return joined.select(*(docs[f"`{x}`"] for x in schema.names), off).mapInArrow(run, ddl)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -16,22 +17,27 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder that is set as such."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset and the master is local, as in tests, a temporary folder
+    that is set as such. On a cluster it has to be set: a folder of one machine would lose rows."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
-def materialise(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the frame as Parquet in the shared folder and reads it again: lineage is cut and a lost executor loses nothing."""
+def materialise(frame: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+    """Writes the frame as Parquet in the shared folder and reads it again: lineage is cut and a lost executor loses nothing.
+    sweep: after a step that has shuffled much, its shuffle files go at once."""
     spark = frame.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     schema = frame.schema
     del frame
-    release(spark)
+    if sweep:
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out._stored = path
     return out
@@ -47,6 +53,17 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all that are taken, whatever their case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets shuffle files of finished steps go: they do when the driver has collected its garbage, twice."""
     gc.collect()
