@@ -15,27 +15,34 @@ from tessera.llm import jaccard, language, linededup, packing, store
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null or without any letter) go; the others stay as they are.
+    """Documents without a language (null or without any letter) go; the others stay as they are, repeated rows and null ids too.
 
     The model learns from the labelled documents that arrive here, but for the held-out quarter."""
     model = language.fit(docs.where(language.remainder(4) != 2))
-    return language.predict(docs, model, docs.columns).where("n_words > 0").select(*docs.columns)
+    found = tuple(store.fresh(docs.columns, "lang_pred", "lang_score", "n_words"))
+    return language.predict(docs, model, docs.columns, found).where(F.col(found[2]) > 0).select(*(f"`{x}`" for x in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-equal lines stay once in the corpus; a document goes when all its lines are repeats. n_chars follows the text."""
-    found = linededup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.col("n_lines") > F.col("n_dropped")))
-    return found.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    """Near-equal lines stay once in the corpus; a document goes when all its lines are repeats. n_chars follows the text.
+
+    Of rows with one doc_id and one text all stay alike; null ids and one id with several texts are told apart by the text."""
+    lines, dropped = store.fresh(docs.columns, "n_lines", "n_dropped")
+    found = linededup.dedup_lines(docs, (lines, dropped)).where((F.col(dropped) == 0) | (F.col(lines) > F.col(dropped)))
+    return found.withColumn("n_chars", F.when(F.col(dropped) == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*(f"`{x}`" for x in docs.columns))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; documents without words stay."""
-    gone = jaccard.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of each group of near-duplicates the document with the smallest doc_id stays; documents without words or without an id stay.
+
+    A row goes by its doc_id and text: another text of the same id has a fate of its own."""
+    key, row = store.fresh(docs.columns, "gone_id", "gone_row")
+    gone = jaccard.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("row").alias(row))
+    return docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == gone[key]) & (jaccard.row_hash(docs["text"]) == gone[row]), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of binary length, each filling a sequence of its own length."""
+    """Pieces of binary length, each filling a sequence of its own length, equal lengths together; every row is packed, as it comes."""
     return packing.pack(docs)
 
 
