@@ -1,25 +1,31 @@
 """BPE encoding as a streaming transducer with bounded lookahead, and decoding as an incremental byte-to-text machine.
 
-Encoding. A merge list fixes how far a change at the right end of a word can move token borders to its left: merging two
-tokens u v there moves the first border that two continuations share by the length of u, and only a later merge whose
-right side can stand at the moved border moves it further. `sufficient_lookahead` takes the largest total over all such
-rising chains. A token that ends at least that many symbols before the end of what has been read is stable, so it is
-emitted and forgotten; what is kept never exceeds the lookahead and one block, whatever the text.
-
-Decoding takes ids in blocks and carries the bytes of an unfinished character from one block to the next.
-
-Null and empty texts have no ids. Repeated rows are encoded as they come; rows without doc_id keep a null. Other columns
-are ignored. An empty table gives an empty result. The strings of added tokens become their ids, as in the library.
+Encoding. Every text goes through an Encoder in pieces of PIECE characters. Pre-tokens end at white space or at a change of the kind of
+characters, so ids of all that stands before the last such border leave at once. Within a pre-token the merge list fixes how far a
+change at its right end can move token borders to the left: merging two tokens u v there moves the first border that two continuations
+share by the length of u, and only a later merge whose right side can stand at the moved border moves it further.
+`sufficient_lookahead` takes the largest total over all such rising chains. A token that ends at least that many symbols before the end
+of what has been read is stable, so it is emitted and forgotten. What is kept between pieces is less than one piece, one block and the
+lookahead, whatever the length of the text or of a word (see Encoder for the one exception). Ids of short words come from caches of
+bounded size, which hold what the merges gave.
+
+Decoding takes ids block by block as the encoder emits them and carries the bytes of an unfinished character to the next block. The
+digests are taken on the way; whole ids and texts are only held where they are asked for.
+
+Null and empty texts have no ids. Repeated rows are encoded as they come, equal texts alike, and nothing depends on an order, so
+there are no ties; rows without doc_id keep a null. Other columns are ignored. An empty table gives an empty result. The strings of
+added tokens become their ids, as in the library.
 """
 
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -32,8 +38,9 @@ from tessera.llm.textkernel import slices
 from tessera.llm.wordtokens import DEFAULT_TOKENIZER, byte_letters, tokenizer_path
 
 #: Bounds of the caches of words and white-space separated chunks: entries of up to CHUNK characters.
-CHUNK, ENTRIES = 48, 1 << 19
-BLOCK = 4096
+CHUNK, ENTRIES = 48, 1 << 18
+#: Bytes of a long pre-token that are merged at a time, and characters of a text that are read at a time.
+BLOCK, PIECE = 4096, 1 << 16
 _NONE = 1 << 62
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -41,6 +48,19 @@ _SPACES = regex.compile(f"[{_SPACE}]+")
 _CONTROL = regex.compile("[\x1c-\x1f]")
 #: The vocabulary's pre-tokeniser pattern (a fixed value).
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+".replace(r"\s", _SPACE))
+_LETTER_RUN, _OTHER_RUN = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*".replace(r"\s", _SPACE))
+
+
+@functools.cache
+def _seconds() -> frozenset[str]:
+    """Characters that may join the one before them into one, though they don't combine."""
+    pairs = (unicodedata.decomposition(chr(k)).split() for k in range(0xA0, 0x110000))
+    return frozenset(chr(int(x[1], 16)) for x in pairs if len(x) == 2 and x[0][0] != "<") | {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
+
+
+def begins_anew(c: str) -> bool:
+    """Whether normalisation never joins or reorders this character with what stands before it."""
+    return c < "\xa0" or (not unicodedata.combining(c) and c not in _seconds())
 
 
 def sufficient_lookahead(merges: list[tuple[int, int, int]], length: dict[int, int] | list[int]) -> int:
@@ -56,7 +76,7 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], length: dict[int, i
 
 
 class Transducer:
-    """Encoder and decoder of one vocabulary. encode() is one text; feed() and finish() take a text in pieces."""
+    """The tables of one vocabulary: merges, their sufficient lookahead, pre-tokens and caches of their ids. encode() is one text."""
 
     _made: dict[str, Transducer] = {}
 
@@ -90,12 +110,10 @@ class Transducer:
         self.last = [vocabulary[x + self.end] for x in letters]
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, bytes] = {}
-        spelt = [x.encode() + b" " for x in self.spelling]
-        self._spelt = np.frombuffer(b"".join(spelt), np.uint8)
-        self._spelt_at = np.concatenate(([0], np.cumsum([len(x) for x in spelt])))
         back = self._letter_byte = {x: b for b, x in enumerate(letters)}
-        self.raw = [text.encode() if text in self.added else bytes(back[c] for c in text.removesuffix(self.end)) + (b" " if self.end and text.endswith(self.end) else b"") for text in self.spelling]
-        self._rest = ""
+        raw = [text.encode() if text in self.added else bytes(back[c] for c in text.removesuffix(self.end)) + (b" " if self.end and text.endswith(self.end) else b"") for text in self.spelling]
+        #: Bytes of all tokens one after another, and where each begins: the text that they stand for, and their spellings.
+        self.tables = [(np.frombuffer(b"".join(x), np.uint8), np.concatenate(([0], np.cumsum([*map(len, x)])))) for x in (raw, [b" " + x.encode() for x in self.spelling])]
 
     @classmethod
     def of(cls, name: str) -> Transducer:
@@ -147,25 +165,26 @@ class Transducer:
             k = after[k]
         return out
 
-    def word(self, raw: bytes) -> Iterator[int]:
-        """Ids of one pre-token's bytes. A long one is read in blocks, and its tokens leave when they are stable."""
-        inner = self.inner
-        if len(raw) <= BLOCK:
-            yield from self.merged([*map(inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
-            return
-        kept: list[int] = []
-        for start in range(0, len(raw) - 1, BLOCK):
-            kept = [*kept, *map(inner.__getitem__, raw[start : min(start + BLOCK, len(raw) - 1)])]
-            read, stable = 0, len(kept) - self.lookahead
-            done = []
+    def stable(self, raw: bytes, kept: list[int]) -> tuple[list[int], list[int]]:
+        """Tokens that no later input changes, once these bytes follow the kept symbols, and the symbols that stay."""
+        out: list[int] = []
+        for start in range(0, len(raw), BLOCK):
+            kept = [*kept, *map(self.inner.__getitem__, raw[start : start + BLOCK])]
+            read, sure = 0, len(kept) - self.lookahead
             for t in self.merged(kept):
-                if read + self.length[t] > stable:
+                if read + self.length[t] > sure:
                     break
-                done.append(t)
+                out.append(t)
                 read += self.length[t]
-            yield from done
             kept = kept[read:]
-        yield from self.merged([*kept, self.last[raw[-1]]])
+        return out, kept
+
+    def word(self, raw: bytes) -> list[int]:
+        """Ids of one pre-token's bytes. A long one is read in blocks, and its tokens leave when they are stable."""
+        if len(raw) <= BLOCK:
+            return self.merged([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
+        out, kept = self.stable(raw[:-1], [])
+        return out + self.merged([*kept, self.last[raw[-1]]])
 
     # -- text to ids ----------------------------------------------------------------------------------------------
 
@@ -174,29 +193,35 @@ class Transducer:
         known = self.chunks.get(chunk)
         if known is not None:
             return known
-        if chunk.isascii():
-            words = [chunk.lower()] if chunk.isalpha() else _WORDS.findall(chunk.lower())
-        elif any(unicodedata.category(c) == "Cn" for c in chunk):
-            words = self._newer_words(chunk)
-        else:
-            words = _WORDS.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
         out: list[int] = []
-        for word in words:
-            if word not in self.words:
-                ids = tuple(self.word(word.encode()))
-                if len(word) <= CHUNK:
-                    self._keep(self.words, word, ids)
-                out += ids
-            else:
-                out += self.words[word]
+        for word in [chunk.lower()] if chunk.isascii() and chunk.isalpha() else self.words_of(self.normal(chunk)):
+            out += self.word_ids(word)
         found = np.array(out, dtype="<u4").tobytes()
         if len(chunk) <= CHUNK:
             self._keep(self.chunks, chunk, found)
         return found
 
-    def _newer_words(self, chunk: str) -> list[str]:
-        """Words of a stretch with characters that this Python's Unicode tables don't have yet: the library's tables give them."""
-        text = self.library.normalizer.normalize_str(chunk)
+    def word_ids(self, word: str) -> tuple[int, ...] | list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.word(word.encode())
+            if len(word) <= CHUNK:
+                ids = tuple(ids)
+                self._keep(self.words, word, ids)
+        return ids
+
+    def normal(self, text: str) -> str:
+        """Normalised text of a stretch without white space. Where this Python's Unicode tables don't have its characters yet, the library's give them."""
+        if text.isascii():
+            return text.lower()
+        if any(unicodedata.category(c) == "Cn" for c in text):
+            return self.library.normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def words_of(self, text: str) -> list[str]:
+        """Pre-tokens of normalised text without white space."""
+        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+            return _WORDS.findall(text)
         return [bytes(self._letter_byte[c] for c in word).decode() for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     @staticmethod
@@ -208,11 +233,22 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit bytes."""
+        return b"".join(self.stream(text))
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, read in pieces of PIECE characters, as they become stable."""
+        encoder = Encoder(self)
+        for k in range(0, len(text), PIECE):
+            yield encoder.feed(text[k : k + PIECE] if len(text) > PIECE else text)
+        yield encoder.finish()
+
+    def chunked(self, text: str) -> bytes:
+        """Ids of a text that no pre-token leaves."""
         if self._added and "<" in text and len(parts := self._added.split(text)) > 1:
-            return b"".join([self.added[x].to_bytes(4, "little") if k % 2 else self.encode_plain(x) for k, x in enumerate(parts)])
-        return self.encode_plain(text)
+            return b"".join([self.added[x].to_bytes(4, "little") if k % 2 else self._plain(x) for k, x in enumerate(parts)])
+        return self._plain(text)
 
-    def encode_plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> bytes:
         chunks = _SPACES.split(text) if _CONTROL.search(text) else text.split()
         found = list(map(self.chunks.get, chunks))
         if None in found:
@@ -220,34 +256,153 @@ class Transducer:
             found = [make(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
         return b"".join(found)
 
+    def added_in(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
+        """Where strings of added tokens stand."""
+        return (m.span() for m in self._added.finditer(text, start)) if self._added else iter(())
+
+
+class Encoder:
+    """One text in pieces. Kept between them: what has been read since the last white space, up to PIECE characters; of a longer stretch
+    its last two pre-tokens, which may still grow, and the strings of added tokens that may be half read; of a pre-token over BLOCK
+    characters the symbols within the lookahead. Only a run of combining marks, which normalisation sorts as one, is kept whole."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+        self.raw = ""
+        self.pending = ""
+        #: Of a long pre-token: its kind of characters, its symbols that aren't stable, and its last byte, which may be its end.
+        self.run: regex.Pattern | None = None
+        self.kept: list[int] = []
+        self.byte = b""
+        self.overlap = max([len(x) for x in machine.added] or [1]) - 1
+
     def feed(self, piece: str) -> bytes:
-        """Ids that are stable once this piece has been read: all up to the last white space."""
-        text = self._rest + piece
-        cut = max((m.end() for m in _SPACES.finditer(text)), default=0)
-        self._rest = text[cut:]
-        return self.encode(text[:cut])
+        """Ids that are stable once this piece has been read."""
+        text, out = self.raw + piece, []
+        if self.pending or self.run:
+            space = _SPACES.search(text)
+            if not space:
+                self.raw = text
+                return self._stretch()
+            out.append(self._close(text[: space.start()]))
+            text = text[space.start() :]
+        cut = max(text.rfind(" "), text.rfind("\n")) + 1 or max((m.end() for m in _SPACES.finditer(text)), default=0)
+        if cut:
+            out.append(self.machine.chunked(text[:cut]))
+        self.raw = text[cut:]
+        if len(self.raw) > PIECE // 2:
+            out.append(self._stretch())
+        return b"".join(out)
 
     def finish(self) -> bytes:
-        out, self._rest = self.encode(self._rest), ""
+        text, self.raw = self.raw, ""
+        return self._close(text) if self.pending or self.run else self.machine.chunked(text)
+
+    def _close(self, text: str) -> bytes:
+        self.raw = ""
+        return self._parts(text, True)
+
+    def _stretch(self) -> bytes:
+        """Reads on in a stretch without white space, up to where no added token and no composed character is cut."""
+        text = self.raw
+        cut = max(0, len(text) - self.overlap)
+        for start, end in self.machine.added_in(text, max(0, cut - self.overlap)):
+            if start < cut < end:
+                cut = end
+        while 0 < cut < len(text) and not begins_anew(text[cut]):
+            cut -= 1
+        self.raw = text[cut:]
+        return self._parts(text[:cut], False)
+
+    def _parts(self, text: str, last: bool) -> bytes:
+        out, at = [], 0
+        for start, end in self.machine.added_in(text):
+            out.append(self._grow(text[at:start], True))
+            out.append(self.machine.added[text[start:end]].to_bytes(4, "little"))
+            at = end
+        out.append(self._grow(text[at:], last))
+        return b"".join(out)
+
+    def _grow(self, text: str, last: bool) -> bytes:
+        """More of a stretch; its last two pre-tokens wait unless it ends here."""
+        text, out = self.machine.normal(text), []
+        if self.run:
+            own = self.run.match(text)
+            part, text = text[: own.end()], text[own.end() :]
+            out += self._symbols(part.encode())
+            if not text and not last:
+                return np.array(out, dtype="<u4").tobytes()
+            out += self.machine.merged([*self.kept, self.machine.last[self.byte[0]]])
+            self.run, self.kept, self.byte = None, [], b""
+        words = self.machine.words_of(self.pending + text)
+        self.pending = ""
+        if not last and words:
+            if len(words[-1]) > BLOCK:
+                self.run = _LETTER_RUN if _LETTER_RUN.match(words[-1]).end() else _OTHER_RUN
+                long = words.pop()
+            else:
+                self.pending = "".join(words[-2:])
+                words, long = words[:-2], ""
+            for word in words:
+                out += self.machine.word_ids(word)
+            out += self._symbols(long.encode())
+        else:
+            for word in words:
+                out += self.machine.word_ids(word)
+        return np.array(out, dtype="<u4").tobytes()
+
+    def _symbols(self, raw: bytes) -> list[int]:
+        """More bytes of the long pre-token: its tokens that are stable now."""
+        if not raw:
+            return []
+        raw, self.byte = self.byte + raw[:-1], raw[-1:]
+        out, self.kept = self.machine.stable(raw, self.kept)
         return out
 
-    # -- ids to text ----------------------------------------------------------------------------------------------
 
-    def decode_spelt(self, ids: bytes) -> bytes:
-        """The library's decode() of a vocabulary without a decoder, in UTF-8: the tokens' spellings with a space between them."""
+class Decoder:
+    """Ids to text block by block: a table gives each token's bytes, a machine turns bytes into characters and keeps those of an unfinished one.
+
+    Spelt as the library's decode() of a vocabulary without a decoder, tokens are set apart by spaces; otherwise the text that they stand for."""
+
+    def __init__(self, machine: Transducer, spelt: bool = True):
+        self._data, self._at = machine.tables[spelt]
+        self._machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self._spelt, self._begun = spelt, False
+
+    def feed(self, ids: bytes) -> str:
         k = np.frombuffer(ids, dtype="<u4").astype(np.int64)
         if not len(k):
-            return b""
-        start, size = self._spelt_at[k], np.diff(self._spelt_at)[k]
+            return ""
+        start = self._at[k]
+        size = self._at[k + 1] - start
         first = np.cumsum(size) - size
-        return self._spelt[np.repeat(start - first, size) + np.arange(int(size.sum()))][:-1].tobytes()
-
-    def decode_text(self, blocks: Iterable[Iterable[int]]) -> Iterator[str]:
-        """The text that the ids stand for, a space for each word's end, block by block; a block may end inside a character."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for ids in blocks:
-            yield machine.decode(b"".join([self.raw[k] for k in ids]))
-        yield machine.decode(b"", True)
+        found = self._data[np.repeat(start - first, size) + np.arange(int(size.sum()))]
+        # in the table a space stands before each spelling
+        found = found[1:] if self._spelt and not self._begun else found
+        self._begun = True
+        return self._machine.decode(found.tobytes())
+
+    def finish(self) -> str:
+        return self._machine.decode(b"", True)
+
+
+def _digests(machine: Transducer, text: str, whole: bool) -> tuple:
+    """Number of tokens, digests of the ids and of the decoded text, as both leave their machines; with `whole` ids and text too."""
+    decoder, n = Decoder(machine), 0
+    ids_sha, decoded_sha = hashlib.sha256(), hashlib.sha256()
+    ids, decoded = [], []
+    for block in machine.stream(text):
+        back = decoder.feed(block)
+        n += len(block) // 4
+        ids_sha.update(block)
+        decoded_sha.update(back.encode())
+        if whole:
+            ids.append(np.frombuffer(block, "<u4").astype(np.int32))
+            decoded.append(back)
+    back = decoder.finish()
+    decoded_sha.update(back.encode())
+    return n, ids_sha.hexdigest(), decoded_sha.hexdigest(), *((np.concatenate([np.zeros(0, np.int32), *ids]), "".join([*decoded, back])) if whole else ())
 
 
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -258,14 +413,11 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer.of(name)
         for batch in slices(batches, "text"):
-            ids = [machine.encode(x) if x else b"" for x in batch.column(1).to_pylist()]
-            decoded = [machine.decode_spelt(x) for x in ids]
-            columns = [
-                batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-            ]
+            rows = [_digests(machine, x or "", with_ids) for x in batch.column(1).to_pylist()]
+            n, ids_sha, decoded_sha, *more = zip(*rows, strict=True)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
-                columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.decode() for x in decoded], pa.string())]
+                columns += [pa.array(more[0], pa.list_(pa.int32())), pa.array(more[1], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids

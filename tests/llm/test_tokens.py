@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,11 +88,36 @@ def test_lookahead_of_a_small_merge_list():
     assert bpe.sufficient_lookahead([(1, 2, 3), (0, 1, 4)], [1, 1, 1, 2, 2]) == 2
 
 
-def test_feeding_in_pieces_and_decoding_in_blocks(library):
-    machine = bpe.Transducer(DEFAULT_TOKENIZER)
+PIECES = ["The quick brown fox, naïve café 日本 ", "it's we'll don't 'save 're 'r ", "<|endoftext|>", "<|end", "oftext|><|startoftext|>x", "a" * 5000, "." * 4500 + "'s", "'" * 4200, "é" * 3000, "e\u0301" * 3000, "\u1100\u1161\u11a8" * 1500, "x\u0323\u0307" * 900, "12345" * 900, "Σ" * 4500 + "ς", "\x1c\x85 \u3000", "\U0001f44d\U0001f3fd" * 1200, "\n\n"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 1 << 16])
+def test_feeding_in_pieces_and_decoding_in_blocks(library, monkeypatch, size):
+    monkeypatch.setattr(bpe, "PIECE", size)
+    monkeypatch.setattr(bpe, "BLOCK", 300 if size > 7 else 4096)
+    machine, rng = bpe.Transducer(DEFAULT_TOKENIZER), random.Random(size)
+    for _ in range(1 if size == 1 else 12):
+        text = "".join(rng.choices(PIECES, k=6))[: 4000 if size == 1 else None]
+        blocks = list(machine.stream(text))
+        ids = ids_of(library, text)
+        assert b"".join(blocks) == ids.tobytes()
+        decoder = bpe.Decoder(machine)
+        assert "".join([*map(decoder.feed, blocks), decoder.finish()]) == library.decode(ids.tolist(), skip_special_tokens=False)
     text = "The quick brown fox, naïve café 日本 " * 50
-    out = b"".join(machine.feed(text[k : k + 7]) for k in range(0, len(text), 7)) + machine.finish()
-    assert out == ids_of(library, text).tobytes()
-    ids = np.frombuffer(out, "<u4").tolist()
-    back = "".join(machine.decode_text([[x] for x in ids]))
+    decoder = bpe.Decoder(machine, spelt=False)
+    back = "".join([decoder.feed(x.to_bytes(4, "little")) for x in ids_of(library, text).tolist()] + [decoder.finish()])
     assert back.split() == "the quick brown fox , naïve café 日本".split() * 50
+
+
+def test_memory_does_not_grow_with_the_text(library):
+    machine = bpe.Transducer(DEFAULT_TOKENIZER)
+    peaks = []
+    for n in (2, 12):
+        encoder, decoder = bpe.Encoder(machine), bpe.Decoder(machine)
+        tracemalloc.start()
+        for k in range(n):
+            decoder.feed(encoder.feed(("theinrsao"[k % 9 :] * bpe.PIECE)[: bpe.PIECE]))
+        encoder.finish()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0]
