@@ -1,11 +1,16 @@
 """Packing by power-of-two decomposition: documents become pieces of binary length, and equal lengths share a bucket.
 
 A document of n tokens is cut into n // longest pieces of `longest` tokens and one piece for each set bit of the rest, in
-falling order. Every piece fills a sequence of its own length, so no sequence crosses documents and none needs padding.
-No shuffle is needed: the sequence id names Spark's partition and the piece's place in it.
+falling order. Every piece fills a sequence of its own length, so no sequence crosses documents and none needs padding. The sequence
+id names the partition that made the piece and its place there.
 
-Null text counts as empty; an empty document is the end token alone. Repeated rows are packed as they come. Rows without
-doc_id keep a null doc_id. Columns other than doc_id and text are ignored. An empty table gives an empty result.
+Then the pieces, not the texts, are dealt out by bucket (the length's logarithm) and a lane, a hash of the sequence id, of which there
+are as many as shuffle partitions: a bucket that holds most pieces has as many lanes as any. Each partition is sorted by bucket and
+sequence, so equal lengths stand together and a reader takes batches of one length from a run of rows.
+
+Null text counts as empty; an empty document is the end token alone. Repeated rows are packed as they come; sequence ids are distinct,
+so the order has no ties. Very long texts are taken whole, as many pieces. Rows without doc_id keep a null doc_id. Columns other than
+doc_id and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import store
 from tessera.llm.textkernel import slices
@@ -40,7 +46,7 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length),
-    and with `with_ids` the piece's ids as an array. Writing the result partitioned by `bucket` groups equal lengths."""
+    and with `with_ids` the piece's ids as an array. In each partition the pieces of a bucket stand together."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
     store.bounded(docs.sparkSession)
@@ -70,7 +76,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
                 columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(pieces).astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=[*PIECES.names, *["ids"] * with_ids])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, DDL + ", ids array<int>" * with_ids)
+    pieces = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, DDL + ", ids array<int>" * with_ids)
+    lanes = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition("bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(lanes))).sortWithinPartitions("bucket", "sequence_id")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

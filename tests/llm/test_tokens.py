@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing
@@ -42,6 +43,13 @@ def test_pieces_are_binary_and_lossless(spark, library):
             assert r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
 
 
+def test_equal_lengths_stand_together(spark):
+    pieces = packing.pack(frame(spark, [*HARD, *("word " * k for k in range(300))]).repartition(5))
+    parts = pieces.withColumn("p", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    runs = [(r.p, r.bucket) for k, r in enumerate(parts) if not k or (parts[k - 1].p, parts[k - 1].bucket) != (r.p, r.bucket)]
+    assert len(runs) == len(set(runs)) and {r.bucket for r in parts} == set(range(13))
+
+
 def test_packing_of_an_empty_table_and_bad_length(spark):
     assert packing.pack(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
