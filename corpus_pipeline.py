@@ -42,8 +42,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of binary length, each filling a sequence of its own length, equal lengths together; every row is packed, as it comes."""
-    return packing.pack(docs)
+    """Pieces of binary length, each filling a sequence of its own length, equal lengths together, with their token ids; every row is packed, as it comes."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
