@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import format_queries, more_queries, relational_queries
+from tessera.plans import file_queries, format_queries, more_queries, relational_queries
 
-QUERIES = {**relational_queries.QUERIES, **format_queries.QUERIES, **more_queries.QUERIES}
-ORACLES = {**relational_queries.ORACLES, **format_queries.ORACLES, **more_queries.ORACLES}
+QUERIES = {**relational_queries.QUERIES, **format_queries.QUERIES, **more_queries.QUERIES, **file_queries.QUERIES}
+ORACLES = {**relational_queries.ORACLES, **format_queries.ORACLES, **more_queries.ORACLES, **file_queries.ORACLES}

@@ -7,46 +7,10 @@ import pytest
 from tessera.functions.subtitles import Cue
 from tessera.functions.tree import FormatError
 from tessera.operators.convert import KERNELS
+from tessera.plans.samples import compound
 from tessera.sources import legacy, matroska
 
 
-def compound(streams: dict[str, bytes]) -> bytes:
-    """A compound file: large streams in sectors, small ones in the mini stream."""
-    sectors: list[bytes] = []
-    fat: list[int] = []
-
-    def put(body: bytes) -> int:
-        if not body:
-            return 0xFFFFFFFE
-        first = len(sectors)
-        count = -(-len(body) // 512)
-        for k in range(count):
-            sectors.append(body[k * 512 : (k + 1) * 512].ljust(512, b"\0"))
-            fat.append(first + k + 1 if k + 1 < count else 0xFFFFFFFE)
-        return first
-
-    pool, mini_fat, entries = b"", [], []
-    for name, body in streams.items():
-        if len(body) >= 4096:
-            entries.append((name, 2, put(body), len(body)))
-        else:
-            first, count = len(mini_fat), -(-len(body) // 64)
-            pool += body.ljust(count * 64, b"\0")
-            mini_fat += [first + k + 1 if k + 1 < count else 0xFFFFFFFE for k in range(count)]
-            entries.append((name, 2, first, len(body)))
-    entries.insert(0, ("Root Entry", 5, put(pool), len(pool)))
-    mini = put(b"".join(struct.pack("<I", x) for x in mini_fat))
-    rows = b"".join((n.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HBBIII", len(n) * 2 + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFF) + bytes(36) + struct.pack("<IQ", start, size) for n, kind, start, size in entries)
-    directory = put(rows)
-    tables = -(-(len(fat) + 2) // 127)
-    at = len(sectors)
-    fat += [0xFFFFFFFD] * tables
-    packed = b"".join(struct.pack("<I", x) for x in fat).ljust(tables * 512, b"\xff")
-    sectors += [packed[k * 512 : (k + 1) * 512] for k in range(tables)]
-    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<IIIIIIII", tables, directory, 0, 4096, mini, 1, 0xFFFFFFFE, 0)
-    return head + b"".join(struct.pack("<I", at + k if k < tables else 0xFFFFFFFF) for k in range(109)) + b"".join(sectors)
-
-
 def record(kind, body):
     return struct.pack("<HH", kind, len(body)) + body
 
