@@ -23,7 +23,7 @@ def tables_from_words(words: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["file_id", "page", "table_no", "row_no", "cells"])
 
-    typed = words.select(F.col("file_id").cast("long"), F.col("page").cast("int"), "text", *(F.col(c).cast("double") for c in ("left", "right", "top", "bottom")))
+    typed = words.where(F.col("text").isNotNull()).select(F.col("file_id").cast("long"), F.col("page").cast("int"), "text", *(F.col(c).cast("double") for c in ("left", "right", "top", "bottom")))
     return typed.groupBy("file_id", "page").applyInArrow(run, "file_id long, page int, table_no int, row_no int, cells array<string>")
 
 
@@ -40,19 +40,21 @@ def documents_from_lines(lines: DataFrame, target: str = "html") -> DataFrame:
 
 
 def words_from_files(files: DataFrame) -> DataFrame:
-    """(file_id, page, text, left, right, top, bottom, size, bold) of the text layer of PDF files; what can't be read gives no rows."""
+    """(file_id, page, text, left, right, top, bottom, size, bold, error) of the text layer of PDF files; a file that can't be read is a
+    row with its error and nothing else."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.bool_()]
-        names = ["file_id", "page", "text", "left", "right", "top", "bottom", "size", "bold"]
+        kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.bool_(), pa.string()]
+        names = ["file_id", "page", "text", "left", "right", "top", "bottom", "size", "bold", "error"]
         for batch in batches:
             rows = []
             for file_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     pages = pdfread.read_pdf(data or b"")
-                except Exception:  # a damaged file must not stop the others
+                except Exception as e:  # a damaged file must not stop the others
+                    rows.append((file_id, *[None] * 8, str(e) or type(e).__name__))
                     continue
-                rows += [(file_id, k, *(w[x] for x in names[2:])) for k, words in enumerate(pages, 1) for w in words]
+                rows += [(file_id, k, *(w[x] for x in names[2:-1]), None) for k, words in enumerate(pages, 1) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return files.select(F.col("file_id").cast("long"), F.col("content").cast("binary")).mapInArrow(run, "file_id long, page int, text string, left double, right double, top double, bottom double, size double, bold boolean")
+    return files.select(F.col("file_id").cast("long"), F.col("content").cast("binary")).mapInArrow(run, "file_id long, page int, text string, left double, right double, top double, bottom double, size double, bold boolean, error string")

@@ -1,11 +1,14 @@
 """Relational steps of file conversion as DataFrame -> DataFrame functions: splits, selections, orders, runs, lookups, unions.
 
-Every function keeps to built-in operators, so Catalyst plans it. Windows partition by the container (a document, a batch), which
+Functions keep to built-in operators, so Catalyst plans them, but for the two whose steps depend on one another (in_order). Windows partition by the container (a document, a batch), which
 bounds a task by one container; nothing is ordered over a whole table but for a top-k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +20,41 @@ def even_split(pages: DataFrame, by: str, order: str, parts: int) -> DataFrame:
     return pages.withColumn("part", F.ntile(parts).over(Window.partitionBy(by).orderBy(order)))
 
 
-def split_by_size(pages: DataFrame, by: str, order: str, size: str, target: int) -> DataFrame:
+def in_order(rows: DataFrame, by: str, order: list[str], made: str, kind: str, scan: Callable[[], Callable[[tuple], object]]) -> DataFrame:
+    """The rows with a column `made` that a scan of each container in its order gives: scan() begins a container, and what it returns
+    takes the values of by, `order` and the rest of the columns, row by row. Rows stream by, sorted; a task holds a scan's state only."""
+    names = rows.columns
+    place = names.index(by)
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{made}` {kind}"])
+    arrow = {"int": pa.int32(), "string": pa.string()}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = object(), None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[place] != key:
+                    key, step = row[place], scan()
+                out.append(step(row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*names, made])
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, ddl)
+
+
+def split_by_size(pages: DataFrame, by: str, order: str, size: str, target: float) -> DataFrame:
     """`part` (from 1): greedy runs whose sizes add up to `target` at most; a row over it stands alone."""
-    rows = pages.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(size).cast("double").alias("_size")))).alias("_rows"))
-    start = F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["part"] > 0) & (acc["sum"] + x["_size"] <= target)
-        part = F.when(fits, acc["part"]).otherwise(acc["part"] + 1)
-        return F.struct(part.alias("part"), (F.when(fits, acc["sum"]).otherwise(0.0) + x["_size"]).alias("sum"), F.concat(acc["out"], F.array(part)).alias("out"))
+    def scan() -> Callable[[tuple], int]:
+        part, total = 0, 0.0
 
-    parts = F.aggregate("_rows", start, step, lambda acc: acc["out"])
-    return rows.select(by, F.explode(F.arrays_zip(F.col("_rows"), parts.alias("part"))).alias("_x")).select(by, F.col(f"_x._rows.{order}").alias(order), F.col("_x.part").alias("part"))
+        def step(row: tuple) -> int:
+            nonlocal part, total
+            part, total = (part, total + row[2]) if part and total + row[2] <= target else (part + 1, row[2])
+            return part
+
+        return step
+
+    return in_order(pages.select(by, order, F.col(size).cast("double")), by, [order], "part", "int", scan).select(by, order, "part")
 
 
 # -- page specs -----------------------------------------------------------------------------------------------------
@@ -115,21 +141,27 @@ def inherit_batch(links: DataFrame, output: str, group: str) -> DataFrame:
 def unique_names(files: DataFrame, by: str, order: str, name: str, style: str = " (%d)") -> DataFrame:
     """`unique_name`: repeated names of a batch get ` (2)`, ` (3)`, ... before the extension, in order, skipping names that are taken.
 
-    A made name may meet a given one; so candidates run on from 2 over the names that the batch holds, in one pass over its names."""
-    listed = files.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("x")))).alias("_all"))
-    before, after = style.split("%d")
+    A made name may meet a given one, which then counts as repeated. Each name's next number is remembered, so the work is linear."""
+
+    def scan() -> Callable[[tuple], str | None]:
+        taken: set[str | None] = set()
+        following: dict[str, int] = {}
+
+        def step(row: tuple) -> str | None:
+            given = found = row[2]
+            if given is not None and given in taken:
+                stem, dot, ext = given.rpartition(".")
+                stem, ext = (stem, dot + ext) if stem else (given, "")
+                k = following.get(given, 2)
+                while (found := stem + style % k + ext) in taken:
+                    k += 1
+                following[given] = k + 1
+            taken.add(found)
+            return found
 
-    def step(acc: Column, item: Column) -> Column:
-        x = item["x"]
-        stem = F.regexp_replace(x, r"(?s)^(.+)\.[^.]*$", "$1")
-        ext = F.when(x.rlike(r"(?s)^.+\.[^.]*$"), F.regexp_extract(x, r"(?s)(\.[^.]*)$", 1)).otherwise("")
-        tries = F.transform(F.sequence(F.lit(2), F.size(acc) + 2), lambda k: F.concat(stem, F.lit(before), k.cast("string"), F.lit(after), ext))
-        free = F.get(F.filter(tries, lambda t: ~F.array_contains(acc, t)), F.lit(0))
-        return F.concat(acc, F.array(F.when(F.array_contains(acc, x), free).otherwise(x)))
+        return step
 
-    names = F.aggregate("_all", F.array().cast("array<string>"), step)
-    zipped = listed.select(by, F.explode(F.arrays_zip(F.col("_all"), names.alias("unique_name"))).alias("_x"))
-    return zipped.select(by, F.col("_x._all.o").alias(order), F.col("_x._all.x").alias(name), F.col("_x.unique_name").alias("unique_name"))
+    return in_order(files.select(by, order, name), by, [order], "unique_name", "string", scan)
 
 
 def keep_last(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -174,22 +206,37 @@ def previous(column: str, by: str, order: str) -> Column:
     return F.lag(column).over(Window.partitionBy(by).orderBy(order))
 
 
-def interval_lookup(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, ordinal: str, value: str, width: int = 3600) -> DataFrame:
+def interval_lookup(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, ordinal: str, value: str, width: float = 1.0) -> DataFrame:
     """Each point with the value of the interval [start, end) that holds it, the last by `ordinal` where several do; null if none does.
 
-    Points and intervals meet by an equi-join on the key and a stretch of `width` seconds or units, so a key with many of both
-    doesn't multiply all of them. An interval counts once for each stretch that it touches."""
+    Points and intervals meet by an equi-join on the key and a stretch of time. The stretches of a level are twice as long as those of
+    the level below, from `width` seconds or units on; an interval takes the lowest level at which it touches three stretches at most,
+    and a point one stretch of every level that intervals take (some fifty at most). So neither long intervals nor keys with many of
+    both multiply rows. Repeated points are looked up once and come back as often as they were."""
 
-    def stretch(c: Column, kind: str) -> Column:
-        number = F.unix_micros(c.cast("timestamp")) / 1_000_000 if kind.startswith("timestamp") else c.cast("double")
-        return F.floor(number / width)
+    def number(c: Column, kind: str) -> Column:
+        return F.unix_micros(c.cast("timestamp")) / 1_000_000 if kind.startswith("timestamp") else c.cast("double")
 
     kind = dict(intervals.dtypes)[start]
-    first, last = stretch(intervals[start], kind), stretch(intervals[end], kind)
-    spread = intervals.where(intervals[start] < intervals[end]).select(intervals[by].alias("_by"), intervals[start].alias("_s"), intervals[end].alias("_e"), intervals[ordinal].alias("_o"), intervals[value].alias("_v"), F.explode(F.sequence(first, last)).alias("_b"))
-    placed = points.withColumn("_b", stretch(points[at], dict(points.dtypes)[at]))
-    hits = placed.join(spread, (F.col(by) == F.col("_by")) & (placed["_b"] == spread["_b"]) & (F.col(at) >= F.col("_s")) & (F.col(at) < F.col("_e")), "left")
-    return hits.groupBy(*points.columns).agg(F.max_by("_v", "_o").alias(value))
+    sound = intervals.where(intervals[start] < intervals[end])
+    first, last = number(sound[start], kind), number(sound[end], kind)
+    level = F.greatest(F.lit(0), F.ceil(F.log2((last - first) / F.lit(width)))).cast("int")
+    spread = sound.select(sound[by].alias("iv_by"), sound[start].alias("iv_start"), sound[end].alias("iv_end"), sound[ordinal].alias("iv_ordinal"), sound[value].alias("iv_value"), first.alias("iv_first"), last.alias("iv_last"), level.alias("iv_level"))
+    levels = [r[0] for r in spread.select("iv_level").distinct().collect()]
+    stretch = lambda c, n: F.floor(c / (F.lit(float(width)) * F.pow(F.lit(2.0), n)))
+    spread = spread.withColumn("iv_stretch", F.explode(F.sequence(stretch(F.col("iv_first"), F.col("iv_level")), stretch(F.col("iv_last"), F.col("iv_level")))))
+    names = [f"`{c}`" for c in points.columns]
+    once = points.groupBy(*names).agg(F.count("*").alias("iv_count"))
+    placed = once.withColumn("iv_at", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("iv_place", stretch(number(F.col(at), dict(points.dtypes)[at]), F.col("iv_at")))
+    hits = placed.join(spread, (F.col(by) == F.col("iv_by")) & (F.col("iv_at") == F.col("iv_level")) & (F.col("iv_place") == F.col("iv_stretch")) & (F.col(at) >= F.col("iv_start")) & (F.col(at) < F.col("iv_end")), "left")
+    found = hits.groupBy(*names, "iv_count").agg(F.max_by("iv_value", "iv_ordinal").alias(value))
+    return found.withColumn("iv_count", F.explode(F.sequence(F.lit(1), "iv_count"))).drop("iv_count")
+
+
+def lookup_by_name(rows: DataFrame, dimension: DataFrame, name: str, order: str, value: str) -> DataFrame:
+    """The rows with the value that the dimension has under their name, the last by `order` where it has several; null if it has none."""
+    last = dimension.groupBy(F.col(name).alias("by_name")).agg(F.max_by(value, order).alias(value))
+    return rows.join(last, rows[name] == last["by_name"], "left").drop("by_name")
 
 
 def timeline_problems(cues: DataFrame, by: str, order: str, start: str, end: str) -> DataFrame:
@@ -241,7 +288,7 @@ def every_kind(files: DataFrame, compatibility: DataFrame, batch: str, kind: str
     """(batch, operation): operations that take every kind of a batch, by counting matches."""
     kinds = files.select(batch, kind).distinct()
     needed = kinds.groupBy(batch).agg(F.count("*").alias("_n"))
-    hits = kinds.join(F.broadcast(compatibility), kind).groupBy(batch, operation).agg(F.count("*").alias("_m"))
+    hits = kinds.join(compatibility, kind).groupBy(batch, operation).agg(F.count("*").alias("_m"))
     return hits.join(needed, batch).where("_m = _n").select(batch, operation)
 
 

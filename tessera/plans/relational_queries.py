@@ -45,7 +45,12 @@ def even_split(spark, sf_dir):
     return R.even_split(pages_of(spark, sf_dir), "o_custkey", "page", 3).select("o_custkey", "o_orderkey", "part")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS ({PAGES}), s AS (
+  SELECT o_custkey, o_orderkey, page, 1 AS part, o_totalprice AS total FROM p WHERE page = 1
+  UNION ALL SELECT p.o_custkey, p.o_orderkey, p.page, CASE WHEN total + o_totalprice <= 300000 THEN part ELSE part + 1 END, CASE WHEN total + o_totalprice <= 300000 THEN total + o_totalprice ELSE o_totalprice END
+  FROM s JOIN p ON p.o_custkey = s.o_custkey AND p.page = s.page + 1)
+SELECT o_custkey, page, part FROM s""")
 def split_by_size(spark, sf_dir):
     return R.split_by_size(pages_of(spark, sf_dir), "o_custkey", "page", "o_totalprice", 300_000)
 
@@ -124,7 +129,9 @@ def batch_inherit(spark, sf_dir):
     return R.inherit_batch(links, "l_orderkey", "g")
 
 
-@query()
+@query("""
+SELECT o_custkey, o_orderkey, name || '.csv' AS name, name || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.csv' AS unique_name
+FROM (SELECT o_custkey, o_orderkey, o_orderstatus AS name, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders)""")
 def unique_names(spark, sf_dir):
     files = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.col("o_orderstatus"), F.lit(".csv")).alias("name"))
     return R.unique_names(files, "o_custkey", "o_orderkey", "name")
@@ -166,16 +173,17 @@ def gap_islands(spark, sf_dir):
     return R.islands(events.withColumn("late", begins), "user_id", "o", F.col("late")).select("user_id", "event_id", "island")
 
 
-INTERVALS = "SELECT user_id AS u, event_id AS cue, ts AS s, ts + INTERVAL 3 HOUR AS e, event_type AS t FROM events WHERE event_type <> 'view'"
+INTERVALS = "SELECT user_id AS u, event_id AS cue, ts AS s, ts + CASE WHEN event_type = 'signup' THEN INTERVAL 90 DAY ELSE INTERVAL 3 HOUR END AS e, event_type AS t FROM events WHERE event_type <> 'view'"
 
 
 @query(f"""
 SELECT event_id, p.user_id, p.ts, (SELECT max_by(i.t, i.cue) FROM ({INTERVALS}) i WHERE i.u = p.user_id AND p.ts >= i.s AND p.ts < i.e) AS t
-FROM events p WHERE event_type = 'view'""")
+FROM events p, range(2) WHERE event_type = 'view'""")
 def interval_lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    cues = events.where("event_type <> 'view'").select("user_id", F.col("event_id").alias("cue"), F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("e"), F.col("event_type").alias("t"))
+    cues = events.where("event_type <> 'view'").select("user_id", F.col("event_id").alias("cue"), F.col("ts").alias("s"), F.when(F.col("event_type") == "signup", F.col("ts") + F.expr("INTERVAL 90 DAYS")).otherwise(F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("e"), F.col("event_type").alias("t"))
     points = events.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    points = points.unionByName(points)  # repeated points stay repeated
     return R.interval_lookup(points, cues, "user_id", "ts", "s", "e", "cue", "t")
 
 
@@ -215,12 +223,20 @@ def column_union(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT o_custkey AS k, o_orderkey AS i FROM orders WHERE o_orderkey % 4 <> 0), m AS (SELECT o_custkey AS k, o_orderkey AS i FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT coalesce(s.k, m.k) AS o_custkey, count(*) FILTER (s.i IS NOT NULL AND m.i IS NOT NULL) AS found, count(*) FILTER (m.i IS NULL) AS unknown, count(*) FILTER (s.i IS NULL) AS unused
-FROM s FULL JOIN m ON s.k = m.k AND s.i = m.i GROUP BY 1""")
+SELECT coalesce(s_nationkey, c_nationkey) AS nation, count(*) FILTER (s_suppkey IS NOT NULL AND c_custkey IS NOT NULL) AS found, count(*) FILTER (c_custkey IS NULL) AS unknown, count(*) FILTER (s_suppkey IS NULL) AS unused
+FROM supplier FULL JOIN customer ON s_nationkey = c_nationkey AND s_suppkey = c_custkey GROUP BY 1""")
 def spine_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return R.key_join_counts(orders.where("o_orderkey % 4 <> 0"), orders.where("o_orderkey % 5 <> 0"), "o_custkey", "o_orderkey", "o_orderkey")
+    spine = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    return R.key_join_counts(spine, table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation"), "nation", "s_suppkey", "c_custkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, t AS p_type FROM lineitem JOIN part ON l_partkey = p_partkey
+LEFT JOIN (SELECT p_brand AS b, max_by(p_type, p_partkey) AS t FROM part WHERE p_size > 25 GROUP BY 1) ON b = p_brand""")
+def name_lookup(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == part["p_partkey"]).select("l_orderkey", "l_linenumber", "p_brand")
+    return R.lookup_by_name(rows, part.where("p_size > 25"), "p_brand", "p_partkey", "p_type").drop("p_brand")
 
 
 @query("""
@@ -370,7 +386,10 @@ def pcm_gain(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", C.pcm_gain(samples, 150).alias("loud"))
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 10000)::INT) AS x FROM embeddings),
+y AS (SELECT vec_id, x, 1 AS k, x[1]::BIGINT AS y FROM v UNION ALL SELECT vec_id, x, k + 1, x[k + 1] - x[k] + sign(y)::BIGINT * (abs(y) * 995 // 1000) FROM y WHERE k < len(x))
+SELECT vec_id, list(CASE WHEN abs(y) < 500 THEN 0 ELSE least(greatest(y, -32768), 32767) END::INT ORDER BY k) AS clean FROM y GROUP BY 1""")
 def pcm_denoise(spark, sf_dir):
     samples = F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", C.pcm_denoise(samples, 2).alias("clean"))

@@ -18,10 +18,13 @@ def file_list(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None, most_bytes: int = 512 << 20) -> DataFrame:
-    """file_id, name, path, size, added_at, content; the size limit reaches the scan, so larger files are never read."""
+    """file_id, name, path, size, added_at, content, error. A file over the limit is an error row without content: the limit and the
+    choice of columns reach the scan, so it is never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).where(F.col("length") <= most_bytes)
-    return found.select(F.xxhash64("path").alias("file_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("added_at"), "content")
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    known = (F.xxhash64("path").alias("file_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("added_at"))
+    whole = found.where(F.col("length") <= most_bytes).select(*known, "content", F.lit(None).cast("string").alias("error"))
+    return whole.unionByName(found.where(F.col("length") > most_bytes).select(*known, F.lit(None).cast("binary").alias("content"), F.lit("too_large").alias("error")))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:

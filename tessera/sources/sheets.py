@@ -12,6 +12,8 @@ from tessera.functions.tree import FormatError
 from tessera.sources.xmlparts import Container, attribute, local, write_zip
 
 MOST_ROWS, MOST_COLUMNS, MOST_REPEAT = 1_048_576, 16_384, 4096
+#: Of a repeated filled row so many copies are given, with a note.
+MOST_ROW_REPEAT = 20_000
 #: Built-in number formats that show dates or times (fixed values).
 DATE_FORMATS = {*range(14, 23), *range(27, 37), 45, 46, 47, *range(50, 59)}
 
@@ -257,9 +259,11 @@ def read_ods(data: bytes) -> list[Sheet]:
             while cells and not cells[-1]:
                 cells.pop()
             repeat = int(attribute(row, "number-rows-repeated", "1"))
-            if not cells and repeat > 20_000:
-                repeat = 1
-            rows += [cells] * min(repeat, 20_000)
+            if repeat > MOST_ROW_REPEAT:
+                if cells:
+                    sheet.notes.append("HUGE_REPEAT")
+                repeat = MOST_ROW_REPEAT if cells else 1
+            rows += [cells] * repeat
         while rows and not rows[-1]:
             rows.pop()
         width = max(map(len, rows), default=0)

@@ -62,7 +62,8 @@ def test_tables_of_a_page(spark):
     assert KERNELS["pdf_to_csv"](data, "a.pdf")[0][0][1] == b"name,qty\napple,3\npear,44\n"
     files = spark.createDataFrame([(1, data), (2, b"no pdf"), (3, None)], "file_id long, content binary")
     words = geometry.words_from_files(files)
-    assert words.agg(F.count("*"), F.max("file_id")).first()[:] == (6, 1)
+    assert words.where("error IS NULL").agg(F.count("*"), F.max("file_id")).first()[:] == (6, 1)
+    assert sorted(r.file_id for r in words.where("error IS NOT NULL").collect()) == [2, 3]  # what can't be read is a row with its error
     assert [r.cells for r in geometry.tables_from_words(words).orderBy("row_no").collect()] == [["name", "qty"], ["apple", "3"], ["pear", "44"]]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import columns as C
 from tessera.operators import convert as V
+from tessera.operators import geometry
 from tessera.operators import relational as R
 from tessera.plans import catalogue, registry
 from tessera.sources import files
@@ -72,6 +73,23 @@ def test_splits_and_names(spark):
     assert [r.unique_name for r in sorted(rows, key=lambda r: r.k)] == ["a.txt", "a (2).txt", "a (2) (2).txt", "a (3).txt", "b", "b (2)", ".x", ".x (2)"]
 
 
+def test_lookups_keep_repeated_points_and_bear_long_intervals(spark):
+    points = spark.createDataFrame([("a", 5), ("a", 5), ("a", 5), ("a", 10**12), ("b", 5), (None, 1)], "k string, t long")
+    intervals = spark.createDataFrame([("a", 0, 10**15, 1, "long"), ("a", 4, 6, 2, "short"), ("a", 9, 9, 3, "none"), ("b", 6, 7, 4, "late")], "k string, s long, e long, o int, v string")
+    found = R.interval_lookup(points, intervals, "k", "t", "s", "e", "o", "v").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([("a", 5, "short")] * 3 + [("a", 10**12, "long"), ("b", 5, None), (None, 1, None)], key=repr)
+    assert R.interval_lookup(points, intervals.limit(0), "k", "t", "s", "e", "o", "v").count() == 6
+
+
+def test_what_is_too_large_or_damaged_is_a_row(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"12345")
+    (tmp_path / "b.bin").write_bytes(b"1234567890")
+    rows = {r.name: (r.content and bytes(r.content), r.error) for r in files.read_files(spark, str(tmp_path), most_bytes=5).collect()}
+    assert rows == {"a.bin": (b"12345", None), "b.bin": (None, "too_large")}
+    words = geometry.words_from_files(spark.createDataFrame([(1, b"no")], "file_id long, content binary"))
+    assert [(r.file_id, r.text, bool(r.error)) for r in words.collect()] == [(1, None, True)] and geometry.tables_from_words(words).count() == 0
+
+
 def test_conversions_report_errors_by_row(spark):
     rows = [(1, "a.json", b'[{"a":1.50},{"b":"x"}]'), (2, "b.json", b"{"), (3, "c.json", None), (4, "d.json", b"[]")]
     out = {r.file_id: r for r in V.convert(spark.createDataFrame(rows, "file_id long, name string, content binary"), "json_to_csv").collect()}
