@@ -1,20 +1,28 @@
 """License scans: normalised text against licence templates, by the Dice coefficient of their sets of word bigrams.
 
-A document is compared by segments: each line, each block of lines between blank ones, and the whole. Normalising lower-cases A-Z,
-takes words of letters, digits and bytes from 0x80 on, and leaves out lines whose first word is `copyright` (but where a line stands
-for itself). With A the segment's and T the template's distinct bigrams, they match when 2 |A and T| >= threshold * (|A| + |T|).
-
-Sizes prune before sets are built: an overlap is at least threshold * |T| / (2 - threshold), and |A| lies between that and
-|T| * (2 - threshold) / threshold. All bigrams of a slice are looked up in one sorted table of the templates' bigrams, and only
-(segment, template) pairs with enough hits are compared exactly. Templates are few and of fixed size; they go along with the task.
-
-Null and empty texts and texts of one word match nothing. Repeated rows get equal results. Ties go to the longer template, then to
-the first in the list. Very long texts are taken whole. An empty table gives an empty result; other columns are ignored.
+Normalising lower-cases A-Z, takes words of letters, digits and bytes from 0x80 on, and leaves out lines that begin with `copyright`
+and a `c`, a sign or a year. What is compared are windows: runs of words of a document, wherever they begin and end, across lines and blank lines. With A
+the window's and T the template's distinct bigrams, they match when 2 |A and T| >= threshold * (|A| + |T|).
+
+Sizes prune first: an overlap is at least threshold * |T| / (2 - threshold), so shorter documents are out, and a window is at most
+(2 - threshold) / threshold times as long as the template. All bigrams of a slice are looked up in one sorted table of the templates'
+bigrams; only (document, template) pairs with enough hits within such a length go on. There the exact coefficients of all windows
+that begin with a hit are taken by running sums (a bigram counts where it stands first in a window), the best window is a match, and
+what is left on both sides is searched in turn. Of windows of several templates that overlap, the one with most common bigrams stays.
+
+Templates are full texts and customary notices, few and of fixed size; they go out once to each executor. Texts that aren't among them,
+such as AGPL-3.0 in full, can be given as a parameter.
+
+Null and empty texts and texts of one word match nothing. Repeated rows get equal results; a null doc_id stays null. Ties go to the
+higher coefficient, then to the first template in the list. Very long texts are taken whole. An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +39,7 @@ _BSD_HEAD = "Redistribution and use in source and binary forms, with or without
 _BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
 #: Licence, and a template of its text or of a notice that names it (fixed values: public licence texts and customary notices).
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY_MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -49,7 +57,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _WARRANTY_MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to <https://unlicense.org>"),
+    ("BSL-1.0", 'Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
@@ -61,16 +70,24 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
+#: Licences whose full texts stand in the folder beside this module, as their publishers give them.
+FULL = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+
+
+def templates() -> tuple[tuple[str, str], ...]:
+    """All templates: the full texts, then the shorter ones and the notices."""
+    folder = resources.files(__package__) / "licence_texts"
+    return (*((name, (folder / f"{name}.txt").read_text(encoding="utf-8")) for name in FULL), *NOTICES)
+
+
 _inside = np.zeros(256, dtype=bool)
 _inside[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_BLANKS = np.zeros(256, dtype=bool)
-_BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
 
-class Words:
-    """Word hashes of a batch of texts, with the line, block and document of each."""
+class Bigrams:
+    """Bigrams of a batch of texts in order: hashes, and the document, first line and last line of each."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, notices: bool = False):
         data, at = text_buffers(texts)
         n = len(data)
         inside = _inside[data]
@@ -78,33 +95,24 @@ class Words:
         edge[at] = True
         start = np.flatnonzero(inside & (edge[:n] | ~np.concatenate(([False], inside[:-1])))) if n else np.zeros(0, np.int64)
         end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1 if n else start
-        self.hash = span_hash(prefix_hash(data), start, end)
+        words = span_hash(prefix_hash(data), start, end)
         breaks = np.flatnonzero(data == 10)
         line_start = np.sort(np.concatenate([breaks + 1, at[:-1]]))
-        line_end = np.sort(np.concatenate([breaks, at[1:]]))
-        self.line_doc = np.sort(np.concatenate([np.searchsorted(at, breaks, side="right") - 1, np.arange(len(at) - 1)]))
-        self.line_number = np.arange(len(line_start)) - np.searchsorted(self.line_doc, np.arange(len(at) - 1))[self.line_doc]
-        self.line = np.searchsorted(line_start, start, side="right") - 1
-        # a line without words is blank if it holds nothing but white space; blocks end there and with the document
-        filled = np.zeros(len(line_start), dtype=bool)
-        filled[self.line] = True
-        for k in np.flatnonzero(~filled & (line_end > line_start)).tolist():
-            filled[k] = not _BLANKS[data[line_start[k] : line_end[k]]].all()
-        new = np.ones(len(line_start), dtype=bool)
-        new[1:] = ~filled[:-1] | (self.line_doc[1:] != self.line_doc[:-1])
-        self.line_block = np.cumsum(new & filled | (filled & np.concatenate(([True], ~filled[:-1])))) - 1
-        first = np.searchsorted(self.line, np.arange(len(line_start)))
-        owned = first < np.searchsorted(self.line, np.arange(len(line_start)), side="right")
-        self.notice = np.zeros(len(line_start), dtype=bool)
-        self.notice[owned] = self.hash[first[owned]] == _word("copyright")
-
-    def bigrams(self, level: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the bigrams within segments of a level, each one's segment, and the line of each segment's first word."""
-        kept = np.ones(len(self.hash), dtype=bool) if level == "line" else ~self.notice[self.line]
-        hashes, line = self.hash[kept], self.line[kept]
-        segment = line if level == "line" else self.line_block[line] if level == "block" else self.line_doc[line]
-        pair = segment[1:] == segment[:-1]
-        return _pairs(hashes)[pair], segment[:-1][pair], line[:-1][pair]
+        line_doc = np.sort(np.concatenate([np.searchsorted(at, breaks, side="right") - 1, np.arange(len(at) - 1)]))
+        line = np.searchsorted(line_start, start, side="right") - 1
+        if not notices and len(line):
+            head = np.concatenate(([True], line[1:] != line[:-1]))
+            notice = np.zeros(len(line_start), dtype=bool)
+            second = np.minimum(np.flatnonzero(head) + 1, len(words) - 1)
+            digit = (data[start[second]] >= 48) & (data[start[second]] <= 57)
+            notice[line[head]] = (words[head] == _word("copyright")) & ((words[second] == _word("c")) | (words[second] == _word("©")) | digit)
+            kept = ~notice[line]
+            words, line = words[kept], line[kept]
+        doc = line_doc[line]
+        pair = doc[1:] == doc[:-1]
+        number = line - np.searchsorted(line_doc, np.arange(len(at) - 1))[doc] if len(line) else line
+        self.hash = mix(words[:-1] * U64(0x9DDFEA08EB382D69) + words[1:])[pair] if len(words) > 1 else np.zeros(0, U64)
+        self.doc, self.first_line, self.last_line = doc[:-1][pair], number[:-1][pair], number[1:][pair]
 
 
 def _word(text: str) -> np.uint64:
@@ -112,28 +120,26 @@ def _word(text: str) -> np.uint64:
     return span_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0]
 
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes[:-1] * U64(0x9DDFEA08EB382D69) + hashes[1:]) if len(hashes) > 1 else np.zeros(0, U64)
-
-
 class Templates:
     """The bigrams of all templates in one sorted table, with the templates that hold each."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
-        self.names = [name for name, _ in templates]
-        self.sets = [distinct(Words(pa.array([text.replace("\n", " ")])).bigrams("line")[0]) for _, text in templates]
+    def __init__(self, given: tuple[tuple[str, str], ...], threshold: float):
+        self.names = [name for name, _ in given]
+        whole = [Bigrams(pa.array([text])).hash for _, text in given]
+        self.sets = [distinct(x) for x in whole]
         self.size = np.array([len(x) for x in self.sets], dtype=np.int64)
         self.threshold = threshold
+        self.longest = np.ceil(np.array([len(x) for x in whole]) * (2 - threshold) / threshold).astype(np.int64)
         held = np.concatenate([*self.sets, np.zeros(0, U64)])
-        owner = np.repeat(np.arange(len(templates)), self.size)
+        owner = np.repeat(np.arange(len(given)), self.size)
         order = np.argsort(held, kind="stable")
         held, self.owner = held[order], owner[order]
         self.table = distinct(held)
         self.first = np.append(np.searchsorted(held, self.table), len(held))
-        self.least = np.ceil(self.size * threshold / (2 - threshold) - 1e-9)
+        self.least = np.maximum(1, np.ceil(self.size * threshold / (2 - threshold) - 1e-9))
 
-    def matches(self, hashes: np.ndarray, segment: np.ndarray) -> list[tuple[int, int, float]]:
-        """(segment, template, Dice coefficient) of all that match."""
+    def matches(self, hashes: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """(document, template, first and last bigram, Dice coefficient) of the windows that match, those of one document apart from each other."""
         if not len(hashes) or not len(self.table):
             return []
         place = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
@@ -141,53 +147,92 @@ class Templates:
         place = place[hit]
         count = self.first[place + 1] - self.first[place]
         spread = np.repeat(self.first[place] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        pair, hits = np.unique(np.repeat(segment[hit], count) * len(self.names) + self.owner[spread], return_counts=True)
-        enough = hits >= self.least[pair % len(self.names)]
-        out = []
-        for p in pair[enough].tolist():
-            s, t = divmod(p, len(self.names))
-            own = distinct(hashes[np.searchsorted(segment, s) : np.searchsorted(segment, s, side="right")])
-            if not self.least[t] <= len(own) <= self.size[t] * (2 - self.threshold) / self.threshold + 1e-9:
-                continue
-            both = np.concatenate([own, self.sets[t]])
-            both.sort()
-            dice = 2.0 * int((both[1:] == both[:-1]).sum()) / (len(own) + len(self.sets[t]))
-            if dice >= self.threshold:
-                out.append((s, t, dice))
+        pair, at = doc[np.repeat(hit, count)] * len(self.names) + self.owner[spread], np.repeat(hit, count)
+        order = np.argsort(pair, kind="stable")
+        pair, at = pair[order], at[order]
+        begin = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(pair))
+        found: list[tuple[int, int, int, int, int, float]] = []
+        for k in np.flatnonzero(end - begin >= self.least[pair[begin] % len(self.names)]).tolist():
+            d, t = divmod(int(pair[begin[k]]), len(self.names))
+            found += [(d, t, *x) for x in self._windows(hashes, at[begin[k] : end[k]], int(np.searchsorted(doc, d, side="right")), t)]
+        out: list[tuple[int, int, int, int, float]] = []
+        taken: list[tuple[int, int]] = []
+        for d, t, a, b, _, dice in sorted(found, key=lambda x: (-x[4], -x[5], x[1], x[2])):
+            k = bisect.bisect(taken, (b, b))
+            if not k or taken[k - 1][1] < a:
+                taken.insert(k, (a, b))
+                out.append((d, t, a, b, dice))
         return out
 
+    def _windows(self, hashes: np.ndarray, hits: np.ndarray, stop: int, t: int) -> list[tuple[int, int, int, float]]:
+        """(first, last, common bigrams, coefficient) of a document's windows; hits: the places of the template's bigrams."""
+        longest, found = int(self.longest[t]), []
+        enough = hits[np.searchsorted(hits, hits + longest) - np.arange(len(hits)) >= self.least[t]]
+        at = 0
+        while at < len(enough):
+            low = int(enough[at])
+            # a window that begins up to `longest` further on ends within this stretch
+            high = min(stop, low + 2 * longest)
+            stretch = hashes[low:high]
+            order = np.argsort(stretch, kind="stable")
+            before = np.full(len(stretch), -1)
+            same = stretch[order][1:] == stretch[order][:-1]
+            before[order[1:][same]] = order[:-1][same]
+            hit = np.zeros(len(stretch), dtype=bool)
+            hit[hits[np.searchsorted(hits, low) : np.searchsorted(hits, high)] - low] = True
+            starts = enough[at : np.searchsorted(enough, low + longest + 1)] - low
+            own: list[tuple[int, int, int, float]] = []
+            self._search(before, hit, starts, 0, len(stretch), t, own)
+            found += [(low + a, low + b, common, dice) for a, b, common, dice in own]
+            at = int(np.searchsorted(enough, max(low + longest + 1, *(low + x[1] + 1 for x in own), 0)))
+        return found
+
+    def _search(self, before: np.ndarray, hit: np.ndarray, starts: np.ndarray, low: int, high: int, t: int, found: list) -> None:
+        """Adds the windows between low and high that begin at `starts`, the best first, then those on its two sides. before: where each
+        bigram stood last; in a window it counts once."""
+        best = (0.0, 0, 0, 0)
+        for a in starts[np.searchsorted(starts, low) : np.searchsorted(starts, high)].tolist():
+            end = min(high, a + int(self.longest[t]))
+            new = before[a:end] < a
+            common = np.cumsum(new & hit[a:end])
+            if common[-1] < self.least[t]:
+                continue
+            dice = 2.0 * common / (np.cumsum(new) + self.size[t])
+            b = int(np.argmax(dice))
+            if dice[b] > best[0] + 1e-12:
+                best = (float(dice[b]), a, a + b, int(common[b]))
+        dice, a, b, common = best
+        if dice >= self.threshold:
+            found.append((a, b, common, dice))
+            self._search(before, hit, starts, low, a, t, found)
+            self._search(before, hit, starts, b + 1, high, t, found)
+
 
-MATCH = "struct<license:string,level:string,first_line:long,last_line:long,dice:double>"
+MATCH = "struct<license:string,first_line:long,last_line:long,dice:double>"
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and matches: of every line, block and whole document (where it is more than a line or a block) the best template that matches."""
-    store.bounded(docs.sparkSession)
+def scan(docs: DataFrame, given: tuple[tuple[str, str], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and matches: the windows that match a template (all of templates() unless given), in the order of their lines, which count from 0."""
+    spark = docs.sparkSession
+    store.bounded(spark)
+    known = spark.sparkContext.broadcast(Templates(templates() if given is None else given, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(templates, threshold)
-        fields = [("license", pa.string()), ("level", pa.string()), ("first_line", pa.int64()), ("last_line", pa.int64()), ("dice", pa.float64())]
+        table = known.value
+        fields = [("license", pa.string()), ("first_line", pa.int64()), ("last_line", pa.int64()), ("dice", pa.float64())]
         for batch in slices(batches, "text"):
-            words = Words(batch.column(1))
+            bigrams = Bigrams(batch.column(1))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            seen: set[tuple[int, int]] = set()
-            for level in ("line", "block", "document"):
-                hashes, segment, line = words.bigrams(level)
-                best: dict[int, tuple] = {}
-                for s, t, dice in known.matches(hashes, segment):
-                    best[s] = max(best.get(s, (0.0, 0, 0, 0)), (dice, int(known.size[t]), -t, t))
-                for s, (dice, _, _, t) in best.items():
-                    a, b = int(line[np.searchsorted(segment, s)]), int(line[np.searchsorted(segment, s, side="right") - 1])
-                    if (a, b) not in seen:
-                        seen.add((a, b))
-                        found[words.line_doc[a]].append({"license": known.names[t], "level": level, "first_line": int(words.line_number[a]), "last_line": int(words.line_number[b]), "dice": dice})
+            for d, t, a, b, dice in sorted(table.matches(bigrams.hash, bigrams.doc), key=lambda x: x[2]):
+                found[d].append({"license": table.names[t], "first_line": int(bigrams.first_line[a]), "last_line": int(bigrams.last_line[b]), "dice": dice})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.struct(fields)))], names=["doc_id", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, matches array<{MATCH}>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id long, matches array<{MATCH}>")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many segments match, and the best match (the highest coefficient, then the first line)."""
+    """Per document: how many windows match, and the best one (the highest coefficient, then the first line)."""
     found = scan(store.documents(spark, sf_dir))
     best = F.get(F.array_sort("matches", lambda a, b: F.when(a["dice"] != b["dice"], F.signum(b["dice"] - a["dice"])).otherwise(a["first_line"] - b["first_line"]).cast("int")), F.lit(0))
-    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"), best["level"].alias("level"), best["first_line"].alias("first_line"), best["last_line"].alias("last_line"), best["dice"].alias("dice"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"), best["first_line"].alias("first_line"), best["last_line"].alias("last_line"), best["dice"].alias("dice"))
