@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -38,7 +38,10 @@ ROUNDS = 3
 #: Pseudo-count of every piece, and the probability of a character that no piece covers.
 SMOOTH, UNKNOWN = 0.02, 1e-7
 MARK = "▁"
-ENTRIES, CHUNK = 1 << 18, 48
+#: Words up to CHUNK characters are kept, about ENTRIES of them; those below TOGETHER characters are scored together.
+ENTRIES, CHUNK, TOGETHER = 1 << 18, 48, 32
+#: Bits of a piece's number, below its size.
+PLACE = 24
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -54,32 +57,41 @@ def vocabulary(name: str = VOCABULARY) -> list[str]:
 
 
 class Model:
-    """Languages, and of each piece the probabilities in them (a matrix of pieces by languages)."""
+    """Languages, and of each piece the probabilities in them (a matrix of pieces by languages). The log probabilities of words that
+    have occurred are kept in a table, of which `known` gives the row of each word."""
 
     def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray):
         self.languages, self.pieces, self.probability = languages, pieces, probability
-        self.known: dict[str, tuple[float, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(languages)))
         self._automaton: ahocorasick.Automaton | None = None
+        self._rows: list[list[float]] = []
 
     def __getstate__(self):
-        return {"languages": self.languages, "pieces": self.pieces, "probability": self.probability, "known": {}, "_automaton": None}
+        return {"languages": self.languages, "pieces": self.pieces, "probability": self.probability, "known": {}, "table": self.table[:0], "_automaton": None, "_rows": []}
 
     def automaton(self) -> ahocorasick.Automaton:
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
-            rows = self.probability.tolist()
+            self._rows = self.probability.tolist()
             for k, x in enumerate(self.pieces):
-                self._automaton.add_word(x, (len(x), k, rows[k]))
+                self._automaton.add_word(x, len(x) << PLACE | k)
             self._automaton.make_automaton()
         return self._automaton
 
+    def matches(self, text: str) -> Iterator[tuple[int, int, int, list[float]]]:
+        """(last place, size, piece, its probabilities) of the pieces in a text."""
+        for end, x in self.automaton().iter(text):
+            k = x & ((1 << PLACE) - 1)
+            yield end, x >> PLACE, k, self._rows[k]
+
     def word(self, word: str) -> tuple[float, ...]:
         """Log probability of a word in each language: the forward algorithm, rescaled where it would vanish."""
         marked = MARK + word
         n, spread = len(marked), range(len(self.languages))
         forward = [[1.0] * len(spread)] + [[0.0] * len(spread) for _ in range(n)]
         by_end: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton().iter(marked):
+        for end, *match in self.matches(marked):
             by_end[end].append(match)
         scale, longest = [0.0] * len(spread), 64
         for end, matches in enumerate(by_end, 1):
@@ -102,31 +114,78 @@ class Model:
                             forward[k][j] *= grown
         return tuple(math.log(forward[n][j]) + scale[j] if forward[n][j] > 0 else -1e4 for j in spread)
 
-    def score(self, text: str | None) -> tuple[str, float, int]:
-        """Language, posterior and number of words of a whole text."""
-        words = _LETTERS.findall(text.lower()) if text else []
-        if words and not words[0].isalpha():  # numerals such as superscripts count as word characters too
-            words = [w for w in words if any(map(str.isalpha, w))]
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0, len(words)
+    def words(self, words: list[str]) -> np.ndarray:
+        """word() of many words at once, a row each: all words take each step of the forward algorithm together."""
+        out = np.zeros((len(words), len(self.languages)))
+        short = [k for k, x in enumerate(words) if len(x) < TOGETHER]
+        for k in (k for k, x in enumerate(words) if len(x) >= TOGETHER):
+            out[k] = self.word(words[k])
+        for first in range(0, len(short), 8192):
+            at = short[first : first + 8192]
+            out[at] = self._together([words[k] for k in at])
+        return out
+
+    def _together(self, words: list[str]) -> np.ndarray:
+        # one pass over all words, a break after each
+        length = np.array([len(x) + 1 for x in words])
+        start = np.cumsum(length + 1) - length - 1
+        found = np.fromiter(chain.from_iterable(self.automaton().iter(MARK + f"\n{MARK}".join(words))), np.int64).reshape(-1, 2)
+        size, piece = found[:, 1] >> PLACE, found[:, 1] & ((1 << PLACE) - 1)
+        owner = np.searchsorted(start, found[:, 0], side="right") - 1
+        end = found[:, 0] - start[owner] + 1
+        longest = int(length.max())
+        single = np.zeros((longest + 1, len(words)), dtype=bool)
+        single[end[size == 1], owner[size == 1]] = True
+        order = np.argsort(end, kind="stable")
+        owner, end, size, piece = owner[order], end[order], size[order], piece[order]
+        cut = np.searchsorted(end, np.arange(longest + 2))
+        forward = np.zeros((longest + 1, len(words), len(self.languages)))
+        forward[0] = 1.0
+        for e in range(1, longest + 1):
+            own = owner[cut[e] : cut[e + 1]]
+            if len(own):
+                through = forward[e - size[cut[e] : cut[e + 1]], own] * self.probability[piece[cut[e] : cut[e + 1]]]
+                new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                forward[e, own[new]] = np.add.reduceat(through, new)
+            # a character that no piece is
+            forward[e] += forward[e - 1] * (UNKNOWN * ~single[e])[:, None]
+        last = forward[length, np.arange(len(words))]
+        return np.where(last > 0, np.log(np.maximum(last, 1e-300)), -1e4)
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """Language, posterior and number of words of each whole text."""
+        split: list[list[str]] = []
+        for text in texts:
+            words = _LETTERS.findall(text.lower()) if text else []
+            if words and not words[0].isalpha():  # numerals such as superscripts count as word characters too
+                words = [w for w in words if any(map(str.isalpha, w))]
+            split.append(words)
+        if not self.languages:
+            return [(UNDETERMINED, 0.0, len(x)) for x in split]
+        if len(self.known) > ENTRIES:
+            kept = list(self.known.items())[len(self.known) // 2 :]
+            self.table = self.table[[k for _, k in kept]]
+            self.known = {x: k for k, (x, _) in enumerate(kept)}
         known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            for k, x in enumerate(found):
-                if x is None:
-                    word = words[k]
-                    row = known.get(word)
-                    if row is None:
-                        row = self.word(word)
-                        if len(word) <= CHUNK:
-                            if len(known) >= ENTRIES:
-                                for y in list(islice(known, ENTRIES // 2)):
-                                    del known[y]
-                            known[word] = row
-                    found[k] = row
-        total = np.array(found).sum(axis=0)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum()), len(words)
+        new = list({x for words in split for x in words if x not in known})
+        if new:
+            rows = self.words(new)
+            self.table = np.concatenate([self.table[: len(known)], rows])
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        out = []
+        for words in split:
+            if not words:
+                out.append((UNDETERMINED, 0.0, 0))
+                continue
+            total = self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            best = int(total.argmax())
+            out.append((self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum()), len(words)))
+        long = [x for x in new if len(x) > CHUNK]
+        if long:  # long words aren't kept
+            kept = [(x, k) for x, k in known.items() if len(x) <= CHUNK]
+            self.table = self.table[[k for _, k in kept]]
+            self.known = {x: k for k, (x, _) in enumerate(kept)}
+        return out
 
 
 def expected_counts(model: Model, words: dict[str, list[float]]) -> np.ndarray:
@@ -136,7 +195,7 @@ def expected_counts(model: Model, words: dict[str, list[float]]) -> np.ndarray:
     for word, count in words.items():
         marked = MARK + word
         n = len(marked)
-        matches = [(end + 1, *m) for end, m in model.automaton().iter(marked)]
+        matches = [(end + 1, *m) for end, *m in model.matches(marked)]
         covered = {end for end, size, *_ in matches if size == 1}
         forward = [[1.0] * len(spread)] + [[0.0] * len(spread) for _ in range(n)]
         edges = sorted([*matches, *((e, 1, -1, [UNKNOWN] * len(spread)) for e in range(1, n + 1) if e not in covered)], key=lambda m: m[0])
@@ -197,9 +256,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, found:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = sent.value.score
+        scores = sent.value.scores
         for batch in slices(batches, [*keep, "text"][own], 1 << 20):
-            rows = [score(x) for x in batch.column(own).to_pylist()]
+            rows = scores(batch.column(own).to_pylist())
             lang, posterior, n = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(posterior, pa.float64()), pa.array(n, pa.int64())], names=names)
 

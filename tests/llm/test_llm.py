@@ -6,6 +6,7 @@ import io
 import math
 import os
 import random
+import re
 import struct
 import wave
 import zipfile
@@ -367,10 +368,42 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(model.word("abab")[0], math.log(total("▁abab")))
     long = "ab" * 3000
     assert model.word(long)[0] < -1000 and math.isfinite(model.word(long)[0])
+    words = ["abab", "b", "xyz", "ba" * 15, "ba" * 16, "aé日", "ba" * 30, "z" * 31]
+    assert np.allclose(model.words(words), [model.word(x) for x in words], rtol=1e-12)
+    alone = [model.scores([x])[0] for x in ("abab ba", "x", None, "", "12", "ba" * 40)]
+    assert alone == model.scores(["abab ba", "x", None, "", "12", "ba" * 40]) and [x[2] for x in alone] == [2, 1, 0, 0, 0, 1] and "ba" * 40 not in model.known
     before = language.expected_counts(model, {"abab": [2.0]})
     assert math.isclose(before[0, 0] + before[1, 0], 2.0)
 
 
+def test_predictions_equal_a_plain_model(spark, sf, monkeypatch):
+    docs = store.documents(spark, sf)
+    model = language.fit(docs.where(language.remainder(4) != 2))
+    p = {x: row for x, row in zip(model.pieces, model.probability, strict=True)}
+
+    def total(word):
+        ways = [np.ones(len(model.languages))]
+        marked = language.MARK + word
+        for end in range(1, len(marked) + 1):
+            here = [(marked[k:end], ways[k]) for k in range(end)]
+            ways.append(sum((w * p[x] for x, w in here if x in p), np.zeros(len(model.languages))) + (0 if marked[end - 1] in p else ways[end - 1] * language.UNKNOWN))
+        return np.log(ways[-1])
+
+    monkeypatch.setattr(language, "ENTRIES", 50)
+    rows = docs.limit(60).collect()
+    got = {r.doc_id: r for r in language.predict(docs.limit(60), model).collect()}
+    for r in rows:
+        words = [w for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) if len(w) < 32]
+        if not words or got[r.doc_id].n_words != len(words):
+            continue
+        logs = sum(map(total, words))
+        assert got[r.doc_id].lang_pred == model.languages[int(logs.argmax())]
+        assert math.isclose(got[r.doc_id].lang_score, 1 / np.exp(np.clip(logs - logs.max(), -700, 0)).sum(), rel_tol=1e-6)
+    assert model.scores(["²³", "a² b"])[0][0] == "und"
+    tied = language.Model(["x", "y"], ["▁", "a"], np.full((2, 2), 0.1))
+    assert tied.scores(["a"])[0][:2] == ("x", 0.5)
+
+
 def test_language_of_hard_texts_and_held_out(spark, sf):
     docs = store.documents(spark, sf)
     model = language.fit(docs.where(language.remainder(4) != 2))
