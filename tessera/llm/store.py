@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of written tables that haven't been deleted: those that results still read.
+_lying: set[str] = set()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """A table of the input folder; the path is opened by Spark only."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -40,6 +44,7 @@ def materialise(frame: DataFrame, name: str, sweep: bool = False) -> DataFrame:
         release(spark)
     out = spark.read.schema(schema).parquet(path)
     out._stored = path
+    _lying.add(path)
     return out
 
 
@@ -48,9 +53,19 @@ def discard(*frames: DataFrame) -> None:
     for frame in frames:
         path = frame.__dict__.pop("_stored", None)
         if path:
-            spark = frame.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(frame.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all written tables that still lie there: to be called when the results of the operators have been read or written."""
+    for path in list(_lying):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _lying.discard(path)
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

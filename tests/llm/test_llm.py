@@ -464,6 +464,9 @@ def test_what_is_discarded_is_gone(spark):
     assert frame_.count() == 5 and os.path.isdir(path)
     store.discard(frame_, spark.range(1))
     assert not os.path.exists(path)
+    other = store.materialise(spark.range(5), "test")._stored
+    store.clear(spark)
+    assert not os.path.exists(other.removeprefix("file://")) and not store._lying
 
 
 def test_queries_run_on_the_smallest_tables(spark, sf):
