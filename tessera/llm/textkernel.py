@@ -69,8 +69,12 @@ def inverse_powers(n: int) -> np.ndarray:
 def prefix_hash(data: np.ndarray, values: np.ndarray = _byte_value) -> np.ndarray:
     """S with S[j] - S[i] = sum of value(data[k]) * BASE**k for i <= k < j, modulo 2**64."""
     power, _ = _power_tables(len(data))
-    out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(values[data] * power[: len(data)], out=out[1:])
+    out = np.empty(len(data) + 1, dtype=U64)
+    out[0] = 0
+    # in place: eight bytes for each byte of text, and no more
+    np.take(values, data, out=out[1:], mode="clip")
+    out[1:] *= power[: len(data)]
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 

@@ -16,7 +16,7 @@ import regex
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Bounds of the caches: entries of up to CHUNK characters, ENTRIES of them.
-CHUNK, ENTRIES = 48, 1 << 18
+CHUNK, ENTRIES = 48, 1 << 17
 
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 #: Characters whose case folding, composition or class the two sides might see otherwise.
