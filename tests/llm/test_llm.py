@@ -435,6 +435,45 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in seen.collect()}
 
 
+CLASHES = ("lang_pred", "lang_score", "n_words", "n_lines", "n_dropped", "gone_id", "gone_row", "gone_lines", "_lines", "row", "component_id", "n_shingles", "ids", "bucket", "block")
+
+
+def test_stages_bear_clashing_names_and_empty_tables(spark, sf):
+    docs = frame(spark, ["one line is here and there\nline two", "one line is here and there\nsomething else", None, "a b c d e f g", "a b c d e f g", "12"])
+    for name in CLASHES:
+        docs = docs.selectExpr("*", f"'x' AS `{name}`")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = store.materialise(stage(spark, table, sf), "test")
+            assert table.columns == docs.columns, name
+            assert {x for r in table.collect() for x in r[-len(CLASHES) :]} <= {"x"}
+        assert corpus_pipeline.packing_stage(spark, table, sf).count() == (0 if table.isEmpty() else corpus_pipeline.packing_stage(spark, table, sf).count())
+    rows = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, sf).collect()}
+    assert rows == {0: "one line is here and there\nline two", 1: "something else", 2: None, 3: "a b c d e f g", 5: "12"}
+
+
+def test_duplicate_stage_tells_texts_of_one_id_apart(spark, sf):
+    texts = ["p q r s t u v", "a b c d e f g", "a b c d e f g", "h i j k l m n", "h i j k l m n", "x"]
+    docs = frame(spark, texts, ids=[9, 3, 5, 5, None, None])
+    left = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.duplicate_stage(spark, docs, sf).collect())
+    assert left == sorted([(9, texts[0]), (3, texts[1]), (5, texts[3]), (-1, texts[4]), (-1, "x")])
+
+
+def test_lines_do_not_depend_on_the_layout(spark):
+    rng = random.Random(4)
+    templates = [[f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('lnrst')}{rng.randrange(99)}" for _ in range(30)] for _ in range(4)]
+    texts = []
+    for _ in range(160):
+        w = list(rng.choice(templates))
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(30)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    want = kept_by_brute_force(texts)
+    for parts in (1, 13):
+        got = {r.doc_id: set(r.lines) for r in linededup.dropped_lines(frame(spark, texts).repartition(parts)).collect()}
+        assert len(set(want) ^ set(got)) <= 0.02 * len(want)
+
+
 def test_language_stage_without_labels(spark, sf):
     docs = frame(spark, HARD).withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, sf).collect()} == {k for k, x in enumerate(HARD) if any(c.isalpha() for c in x or "")}
