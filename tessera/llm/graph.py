@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import store
 
-#: A level of at most so many edges is contracted by one task; a forest of more nodes is given out and begun anew.
-LAST_LEVEL, MOST_NODES = 50_000, 2_000_000
+#: A forest of more nodes is given out and begun anew. A level whose edges cannot have more nodes is contracted by one task.
+MOST_NODES = 2_000_000
+LAST_LEVEL = MOST_NODES // 2
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
