@@ -7,9 +7,16 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: Bytes of shuffled data that a task of a written table takes at least, where there is so much for each core: few files, not many small ones.
+PART_BYTES = 32 << 20
+#: Where the shared folder is a local one: files without checksum files beside them, each of which costs two more processes that set its mode.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 #: Paths of written tables that haven't been deleted: those that results still read.
 _lying: set[str] = set()
@@ -37,7 +44,8 @@ def materialise(frame: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     sweep: after a step that has shuffled much, its shuffle files go at once."""
     spark = frame.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with _large_parts(spark):
+        frame.write.options(**_PLAIN_FILES).parquet(path)
     schema = frame.schema
     del frame
     if sweep:
@@ -48,6 +56,18 @@ def materialise(frame: DataFrame, name: str, sweep: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def _large_parts(spark: SparkSession) -> Iterator[None]:
+    """Raises the size of coalesced partitions to PART_BYTES while a table is written; a larger size stays, and what was set comes back."""
+    before = spark.conf.get(_ADVISORY)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    try:
+        spark.conf.set(_ADVISORY, str(max(size, PART_BYTES)))
+        yield
+    finally:
+        spark.conf.set(_ADVISORY, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what materialise() wrote for these frames, once nothing that is still to run reads them."""
     for frame in frames:
