@@ -234,12 +234,12 @@ def score_documents(docs: DataFrame, held_out: Column, prior: float = PRIOR) ->
     parts = graph.part_count(texts)
     sliced = store.materialise(_sliced(texts), "slices")
     asked = sliced.mapInArrow(_ask_tokens(parts), "part int, slice long, keys binary, counts binary")
-    tokens = store.materialise(asked.groupBy("part").applyInArrow(_count_tokens, "part int, slice long, counts binary, tokens long, distinct long"), "tokens")
+    tokens = store.materialise(asked.groupBy("part").applyInArrow(_count_tokens, "part int, slice long, counts binary, tokens long, distinct long"), "tokens", sweep=True)
     n, v = tokens.where("slice = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     w = _Weights(n, v, prior)
     own = tokens.where("slice <> -1").select("part", "slice", "counts")
     bigrams = sliced.groupBy("slice").cogroup(own.groupBy("slice")).applyInArrow(_ask_bigrams(parts, w), "part int, slice long, context binary, successor binary, counts binary, before binary, lower binary")
-    answers = store.materialise(bigrams.groupBy("part").applyInArrow(_answer_bigrams(w), "part int, slice long, values binary"), "bigrams")
+    answers = store.materialise(bigrams.groupBy("part").applyInArrow(_answer_bigrams(w), "part int, slice long, values binary"), "bigrams", sweep=True)
     both = own.withColumn("values", F.lit(None).cast("binary")).unionByName(answers.withColumn("counts", F.lit(None).cast("binary")))
     return sliced.groupBy("slice").cogroup(both.groupBy("slice")).applyInArrow(_score(w), SCORES)
 
