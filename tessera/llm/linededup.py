@@ -5,8 +5,10 @@
    bins filled from the next full one, gives 12 bands of 5: a pair of Jaccard similarity 0.8 meets in some band with
    probability 1 - (1 - 0.8 ** 5) ** 12 = 0.99, one of 0.9 almost surely.
 3. Each line is compared with the smallest id of each of its buckets, by the exact Jaccard similarity of their sets (0.8 or
-   more links). Where that leaves a component of lines that share buckets in several groups, all its lines meet in blocks, as
-   op2's documents do, so every pair that a band found is compared or known to be joined. Only such components cost a square.
+   more links). Where that leaves a component of lines that share buckets in several groups, its lines meet: all of them in one
+   block, or, where they are more than a block takes, in every bucket that holds several groups, in blocks as op2's documents
+   do. So every pair that a band found is compared or known to be joined, and only buckets cost a square: components don't,
+   which chance matches join to one large component as the corpus grows.
 4. Distributed union-find joins the links. Of a component's places (doc_id, hash of the text, line number) the smallest stays, all others go.
 
 Lines end with U+000A. Blank lines (of U+0020 and U+0009 to U+000D) are no lines here and stay. Null text stays null, empty text empty. Rows with equal doc_id
@@ -32,6 +34,8 @@ BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 #: Bytes of a line that count as one line in a block.
 WEIGHT = 1024
+#: Up to so many lines an open component meets as a whole: as many as share a block.
+WHOLE = jaccard.BLOCK
 #: Stands for an empty bin; the one hash in 2**32 that equals it counts as empty too.
 _EMPTY = np.uint32(0xFFFFFFFF)
 _SPACES = " \t\n\x0b\x0c\r"
@@ -200,25 +204,62 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _open_members(pairs: DataFrame, grouped: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, root, n, weight) of the lines of components of pairs whose lines are in several groups so far, a written table."""
+    """(id, root, group, n, weight) of the lines of components of pairs whose lines are in several groups so far, a written table."""
     roots = graph.components(pairs)
     state = roots.join(grouped.withColumnRenamed("root", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
     # written, so that the next join deals out both sides anew and a large component can be split
     several = store.materialise(state.groupBy("root").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("root"), "several")
     sizes = texts.groupBy("id").agg(F.first("n").alias("n"), F.ceil(F.first(F.octet_length("text")) / F.lit(WEIGHT)).alias("weight"))
-    members = store.materialise(roots.join(several.hint("merge"), "root").join(sizes.hint("merge"), "id").select("id", "root", "n", "weight"), "members")
+    members = store.materialise(state.join(several.hint("merge"), "root").join(sizes.hint("merge"), "id").select("id", "root", "group", "n", "weight"), "members")
     store.discard(roots, several)
     return members
 
 
-def _block_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stars of a spanning forest of the links of each block."""
+def _buckets(members: DataFrame, texts: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, root, n, weight), and the written tables behind it: which open lines have to meet. A component that counts as `most` lines at most meets as
+    a whole. In a larger one, which chance matches may have joined, a line meets those of its buckets that hold several groups; root is the bucket's key."""
+    large = store.materialise(members.groupBy("root").agg(F.sum("weight").alias("load")).where(F.col("load") > most).select("root"), "large")
+    if large.isEmpty():
+        return members.drop("group"), [large]
+    small = members.join(large.hint("merge"), "root", "left_anti").select("id", "root", "n", "weight")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 18):
+            lines = Lines(batch.column(4))
+            keys = band_keys(*lines.shingles(), len(lines.id)).view(np.int64).ravel()
+            again = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(again) for k in range(4))], names=["key", "id", "group", "n", "weight"])
+
+    inside = members.join(large.hint("merge"), "root")
+    # rows with equal doc_id and text give a line several times
+    told = texts.select("id", "text").dropDuplicates(["id"]).join(inside.hint("merge"), "id").select("id", "group", "n", "weight", "text")
+    keyed = store.materialise(told.mapInArrow(run, "key long, id long, group long, n long, weight long"), "keyed")
+    # buckets of the same lines are one; written, so that the join deals out both sides anew and a large bucket can be split
+    held = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    kept = store.materialise(held.where("low <> high").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
+    return small.unionByName(keyed.join(kept.hint("merge"), "key").select("id", F.col("key").alias("root"), "n", "weight")), [large, keyed, kept]
+
+
+def _block_links(dealt: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stars of a spanning forest of the links of each block. Lines of a block's largest group are joined already and don't meet each other."""
 
     def product(table: pa.Table) -> pa.Table:
-        a, b = jaccard.block_links(table.column("id").to_numpy(), table.column("side").to_numpy(), line_sets(table.column("text").combine_chunks()), PERCENT)
+        ids, side, group = (table.column(x).to_numpy() for x in ("id", "side", "group"))
+        sets = line_sets(table.column("text").combine_chunks())
+        _, at, count = np.unique(group, return_inverse=True, return_counts=True)
+        rest, left = at != count.argmax(), side == 0
+        right = ~left if (~left).any() else left
+        stars = []
+        for x, y in ((left & rest, right), (left & ~rest, right & rest if right is not left else right & False)):
+            x, y = np.flatnonzero(x), np.flatnonzero(y)
+            if len(x) and len(y):
+                both = np.concatenate([x, y])
+                stars.append(jaccard.block_links(ids[both], np.repeat([0, 1], [len(x), len(y)]), [sets[k] for k in both.tolist()], PERCENT))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(s[k] for s in stars)]) for k in (0, 1))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return texts.select("id", "text").join(dealt.hint("merge"), "id").groupBy("block").applyInArrow(product, "a long, b long")
+    own = texts.select("id", "text").dropDuplicates(["id"]).join(members.select("id", "group").hint("merge"), "id")
+    return own.join(dealt.hint("merge"), "id").groupBy("block").applyInArrow(product, "a long, b long")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -232,12 +273,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     pairs = store.materialise(graph.stars(_bands(docs, parts)).distinct(), "pairs", sweep=True)
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = store.materialise(_texts(docs, firsts.join(asked, "id").select("id", "first.doc_id", "first.row", "first.line")), "lines", sweep=True)
-    links = store.materialise(_verified(pairs, texts), "links")
+    links = store.materialise(_verified(pairs, texts), "links", sweep=True)
     united = graph.components(links)
     members = _open_members(pairs, united, texts)
     if not members.isEmpty():
-        dealt = jaccard.dealt_blocks(members, PERCENT)
-        more = store.materialise(_block_links(dealt, texts), "more")
+        meeting, behind = _buckets(members, texts, WHOLE)
+        dealt = jaccard.dealt_blocks(meeting, PERCENT)
+        store.discard(*behind)
+        more = store.materialise(_block_links(dealt, members, texts), "more", sweep=True)
         led, united = united, graph.components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
         store.discard(led, dealt, more)
     store.discard(pairs, texts, links, members)

@@ -223,6 +223,26 @@ def test_lines_of_one_template_equal_brute_force(spark, monkeypatch):
     assert got == kept_by_brute_force(texts) and len(got) == 40
 
 
+def test_lines_that_chance_matches_chain_meet_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(linededup, "WHOLE", 16, raising=False)
+    dealt, write = [], store.materialise
+
+    def written(frame, name, sweep=False):
+        out = write(frame, name, sweep)
+        dealt.extend([out.count()] if name == "dealt" else [])
+        return out
+
+    monkeypatch.setattr(store, "materialise", written)
+    rng = random.Random(3)
+    ring = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=24 * 300)) * 2
+    texts = [ring[k : k + 200] for k in range(0, 24 * 300, 24)]  # 0.78 to the next one: they share buckets and don't link
+    texts += [x[:-10] + "".join(rng.choices("0123456789", k=10)) for x in texts[::15]]  # 0.9 to one each
+    got = {r.doc_id: set(r.lines) for r in linededup.dropped_lines(frame(spark, texts)).collect()}
+    assert got == kept_by_brute_force(texts) and len(got) == 20
+    assert sum(dealt) < 16 * len(texts)  # a component of all lines would be copied 40 times
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     texts, ids = ["a\nx", "b\na", "c\na\nb", None, "p\nq", "r\np", "p\nq"], [None, None, None, None, 7, 7, 7]
     rows = [(r.doc_id, *(r.text or "").split("\n"), r.n_dropped) for r in linededup.dedup_lines(frame(spark, texts, ids=ids)).collect()]
