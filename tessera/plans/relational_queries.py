@@ -193,7 +193,7 @@ f AS (SELECT user_id, e < s AS r, e = s AS z, s < lag(e) OVER (PARTITION BY user
 SELECT user_id, count(*) FILTER (r) AS reversed, count(*) FILTER (z) AS empty, count(*) FILTER (o) AS overlapping FROM f GROUP BY 1""")
 def overlap_counts(spark, sf_dir):
     start = F.unix_seconds(F.col("ts").cast("timestamp"))
-    cues = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("o"), start.alias("s"), (start + F.round(F.col("value") * 100).cast("long") % 7000 - 100).alias("e"))
+    cues = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("o"), start.alias("s"), (start + F.rint(F.col("value") * 100).cast("long") % 7000 - 100).alias("e"))
     return R.timeline_problems(cues, "user_id", "o", "s", "e")
 
 

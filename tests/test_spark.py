@@ -163,3 +163,15 @@ def test_query_equals_sql(spark, sf, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_overlap_counts_round_halves_as_sql(spark, tmp_path):
+    # a hundredfold that is a half: the even neighbour gives a cue of no length
+    halves = [v for j in range(200) if (v := (7000 * j + 100.5) / 100) * 100 == 7000 * j + 100.5]
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k), k % 3, "view", v, "{}") for k, v in enumerate(halves)]
+    kind = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, entry.queries()["overlap_counts"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(db.sql(entry.oracle_sql()["overlap_counts"]).fetchall())
