@@ -10,8 +10,9 @@ a group's task holds the score lists of its vectors for a block of queries.
 3. The scores of these are completed exactly; each group sends its best k of those that reach the cutoff, and the merge of
    these is the result.
 
-Merging takes at most FAN groups' answers at a time, level by level. Blocks of queries meet all groups by an equi-join on the
-group number, so work is queries times vectors, as the contract asks, while no task holds more than a block and a group.
+Merging takes at most FAN groups' answers at a time, level by level. Blocks of queries meet all groups by a merge join on a
+share of the groups, so work is queries times vectors, as the contract asks, while no task holds more than a block and a group
+in Python, and nothing that grows with the table goes through the driver.
 
 Components are floor(64 * x) as whole numbers; float64 products are used where they are exact, else 64-bit integers, which a score has
 to fit. Vectors
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from tessera.llm import store
 
 K, SCALE, LISTS, GROUP, BLOCK, FAN = 20, 64.0, 2, 8192, 512, 64
+#: Query blocks are copied to so many shares of the groups, or to two for each core, where there are more groups than that.
+SPREAD = 32
 
 
 def _packer(scale: float):
@@ -152,8 +155,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
     queries, _ = _grouped(sound.where(is_query), BLOCK, scale)
     queries = store.materialise(queries.select(F.col("part").alias("block"), *(F.col(x).alias("q_" + x) for x in ("ids", "width", "wide", "body"))), "queries")
 
+    spread = min(parts, max(SPREAD, 2 * vectors.sparkSession.sparkContext.defaultParallelism))
+
     def everywhere(block: DataFrame) -> DataFrame:
-        return block.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(groups, "part")
+        # never broadcast: Spark takes the blocks for as small as one copy of them, and that would go through the driver
+        copies = block.withColumn("over", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        # partitions of their own, four to a share: few shares meet in one, and they aren't put together by size
+        shares = groups.withColumn("over", F.col("part") % spread).repartition(4 * spread, "over")
+        return copies.repartition(4 * spread, "over").join(shares.hint("merge"), "over").drop("over")
 
     first = _merged(everywhere(queries).mapInArrow(_scan(k, lists, False), ANSWER), parts, k)
 
@@ -171,7 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
                 cut.append(np.nextafter(least, -np.inf).tobytes() if np.abs(score).max(initial=0) >= 1 << 53 else least.tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("block", "q_ids", "q_width", "q_wide", "q_body")), pa.array(cut, pa.binary())], names=["block", "q_ids", "q_width", "q_wide", "q_body", "cutoff"])
 
-    known = queries.join(first.select("block", "query", "score"), "block").mapInArrow(cutoffs, "block int, q_ids binary, q_width int, q_wide boolean, q_body binary, cutoff binary")
+    known = queries.join(first.select("block", "query", "score").hint("merge"), "block").mapInArrow(cutoffs, "block int, q_ids binary, q_width int, q_wide boolean, q_body binary, cutoff binary")
     known = store.materialise(known, "cutoffs")
     last = _merged(everywhere(known).mapInArrow(_scan(k, lists, True), ANSWER), parts, k)
 
@@ -182,7 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
                 start = np.searchsorted(query, query)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["q_ids"], np.int64)[query]), pa.array((np.arange(len(query)) - start + 1).astype(np.int32)), pa.array(ids), pa.array(score)], names=["query_id", "rank", "vec_id", "score"])
 
-    return last.join(queries.select("block", "q_ids"), "block").mapInArrow(rows, "query_id long, rank int, vec_id long, score long")
+    return last.join(queries.select("block", "q_ids").hint("merge"), "block").mapInArrow(rows, "query_id long, rank int, vec_id long, score long")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scale_of_values, sizes):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_broadcasts_nothing_that_grows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 16)
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    plans, write = [], store.materialise
+
+    def written(frame, name, sweep=False):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame, name, sweep)
+
+    monkeypatch.setattr(store, "materialise", written)
+    rng = random.Random(5)
+    vectors = spark.createDataFrame([(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(400)], "vec_id long, embedding array<float>")
+    out = topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+    assert not [x for x in [*plans, out._jdf.queryExecution().executedPlan().toString()] if "Broadcast" in x]
+    assert out.count() == 400
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
