@@ -201,9 +201,9 @@ def _prefix_keys(packed: DataFrame, parts: int, percent: int) -> DataFrame:
     return packed.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(choose, graph.STAR_KEYS)
 
 
-def dealt_blocks(members: DataFrame, percent: int) -> DataFrame:
+def dealt_blocks(members: DataFrame, percent: int, *kept: str) -> DataFrame:
     """(id, side, block), a written table: the blocks in which each member of a component meets others. members: id, root, n (size of the set),
-    weight (for how many it counts in a block)."""
+    weight (for how many it counts in a block). Columns of members named by `kept` are kept."""
     width = math.log(100 / percent) * 1.0001
     members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
     own = Window.partitionBy("root")
@@ -215,14 +215,14 @@ def dealt_blocks(members: DataFrame, percent: int) -> DataFrame:
     bins = max(1, -(-(shape.where(F.col("total") <= BLOCK).agg(F.sum("load")).first()[0] or 0) // BLOCK))
     joined = members.join(shape.drop("load").hint("merge"), ["root", "band"])
     small, large = joined.where(F.col("total") <= BLOCK), joined.where(F.col("total") > BLOCK)
-    few = small.select("id", F.lit(0).alias("side"), F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"))
+    few = small.select("id", F.lit(0).alias("side"), F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"), *kept)
     large = large.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.col("i") > j).cast("int").alias("side"), F.concat_ws("_", F.col("root"), F.col("band"), F.least(F.col("i"), j), F.lit("="), F.greatest(F.col("i"), j)).alias("block"))),
         F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(F.lit(0).alias("side"), F.concat_ws("_", F.col("root"), F.col("band"), F.col("i"), F.lit("<"), j).alias("block")))).otherwise(F.array()),
         F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.struct(F.lit(1).alias("side"), F.concat_ws("_", F.col("root"), F.col("band") - 1, j, F.lit("<"), F.col("i")).alias("block")))).otherwise(F.array()),
     )
-    dealt = store.materialise(few.unionByName(large.select("id", F.explode(pairs).alias("to")).select("id", "to.side", "to.block")), "dealt")
+    dealt = store.materialise(few.unionByName(large.select("id", F.explode(pairs).alias("to"), *kept).select("id", "to.side", "to.block", *kept)), "dealt")
     store.discard(shape)
     return dealt
 

@@ -36,6 +36,8 @@ BINS = BANDS * ROWS
 WEIGHT = 1024
 #: Up to so many lines an open component meets as a whole: as many as share a block.
 WHOLE = jaccard.BLOCK
+#: Components of so many lines at most that share a block are multiplied together, and so many pairs of entries at a time.
+FEW, _PAIRS = 32, 1 << 20
 #: Stands for an empty bin; the one hash in 2**32 that equals it counts as empty too.
 _EMPTY = np.uint32(0xFFFFFFFF)
 _SPACES = " \t\n\x0b\x0c\r"
@@ -173,8 +175,13 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def line_sets(texts: pa.Array) -> list[np.ndarray]:
     """The distinct shingles of each text, which is a single line."""
     hashes, owner = Lines(texts).shingles()
-    order = np.lexsort((hashes, owner))
+    # lines shorter than a shingle come last
+    order = np.argsort(owner, kind="stable")
     hashes, owner = hashes[order], owner[order]
+    # line by line: many short sorts cost a fraction of one by two keys
+    at = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    for first, last in zip(at[:-1], at[1:], strict=True):
+        hashes[first:last].sort()
     new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))) if len(hashes) else np.zeros(0, bool)
     hashes, owner = hashes[new], owner[new]
     return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts)))) if len(texts) else []
@@ -240,22 +247,76 @@ def _buckets(members: DataFrame, texts: DataFrame, most: int) -> tuple[DataFrame
     return small.unionByName(keyed.join(kept.hint("merge"), "key").select("id", F.col("key").alias("root"), "n", "weight")), [large, keyed, kept]
 
 
-def _block_links(dealt: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Stars of a spanning forest of the links of each block. Lines of a block's largest group are joined already and don't meet each other."""
-
-    def product(table: pa.Table) -> pa.Table:
-        ids, side, group = (table.column(x).to_numpy() for x in ("id", "side", "group"))
-        sets = line_sets(table.column("text").combine_chunks())
-        _, at, count = np.unique(group, return_inverse=True, return_counts=True)
-        rest, left = at != count.argmax(), side == 0
+def few_links(root: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The places of both ends of all links between sets of one root. root rises."""
+    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
+    own = np.arange(len(root)) - (np.cumsum(count) - count)[at]
+    base = (np.cumsum(count**2) - count**2)[at]
+    hashes, owner = np.concatenate([*sets, np.zeros(0, U64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    # a hash of its own for each component
+    hashes += mix(at.astype(U64))[owner]
+    order = np.argsort(hashes)
+    hashes, owner = hashes[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(hashes)))
+    # each entry meets those after it that have the same hash
+    after = np.repeat(start + size, size) - np.arange(len(hashes)) - 1
+    first = np.flatnonzero(after)
+    total = np.cumsum(after[first])
+    overlap = np.zeros(int((count**2).sum()), dtype=np.int64)
+    edges = np.searchsorted(total, np.arange(_PAIRS, int(total[-1]) + _PAIRS, _PAIRS)).tolist() if len(total) else []
+    for low, high in zip([0, *edges[:-1]], [*edges[:-1], len(first)], strict=True) if edges else ():
+        place, n = first[low:high], after[first[low:high]]
+        x = np.repeat(place, n)
+        y = x + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + 1
+        x, y = owner[x], owner[y]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        same = at[x] == at[y]
+        if not same.all():
+            x, y = x[same], y[same]
+        overlap += np.bincount(base[x] + own[x] * count[at[x]] + own[y], minlength=len(overlap))
+    found = np.flatnonzero(overlap)
+    head = np.cumsum(count) - count
+    of = np.searchsorted(np.cumsum(count**2), found, side="right")
+    inside = found - (np.cumsum(count**2) - count**2)[of]
+    x, y = head[of] + inside // count[of], head[of] + inside % count[of]
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    linked = 100 * overlap[found] >= percent * (n[x] + n[y] - overlap[found])
+    return x[linked], y[linked]
+
+
+def meeting_links(ids: np.ndarray, side: np.ndarray, group: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of spanning forests of the links of a block, whose components don't meet each other. Where one has more than FEW lines, those
+    of its largest group are joined already and don't meet each other."""
+    order = np.argsort(root, kind="stable")
+    roots, count = np.unique(root, return_counts=True)
+    first = np.cumsum(count) - count
+    few = order[np.repeat(count <= FEW, count)]
+    x, y = few_links(root[few], [sets[k] for k in few.tolist()])
+    x, y = ids[few[x]], ids[few[y]]
+    differ = x != y
+    found, star = graph.local_components(x[differ], y[differ])
+    stars = [(found[found != star], star[found != star])]
+    for k in np.flatnonzero(count > FEW).tolist():
+        own = order[first[k] : first[k] + count[k]]
+        _, at, size = np.unique(group[own], return_inverse=True, return_counts=True)
+        rest, left = at != size.argmax(), side[own] == 0
         right = ~left if (~left).any() else left
-        stars = []
         for x, y in ((left & rest, right), (left & ~rest, right & rest if right is not left else right & False)):
-            x, y = np.flatnonzero(x), np.flatnonzero(y)
+            x, y = own[x], own[y]
             if len(x) and len(y):
                 both = np.concatenate([x, y])
-                stars.append(jaccard.block_links(ids[both], np.repeat([0, 1], [len(x), len(y)]), [sets[k] for k in both.tolist()], PERCENT))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(s[k] for s in stars)]) for k in (0, 1))
+                stars.append(jaccard.block_links(ids[both], np.repeat([0, 1], [len(x), len(y)]), [sets[j] for j in both.tolist()], PERCENT))
+    a, b = (np.concatenate([s[k] for s in stars]) for k in (0, 1))
+    return a, b
+
+
+def _block_links(dealt: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stars of spanning forests of the links of each block."""
+
+    def product(table: pa.Table) -> pa.Table:
+        ids, side, group, root = (table.column(x).to_numpy() for x in ("id", "side", "group", "root"))
+        a, b = meeting_links(ids, side, group, root, line_sets(table.column("text").combine_chunks()))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     own = texts.select("id", "text").dropDuplicates(["id"]).join(members.select("id", "group").hint("merge"), "id")
@@ -278,7 +339,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     members = _open_members(pairs, united, texts)
     if not members.isEmpty():
         meeting, behind = _buckets(members, texts, WHOLE)
-        dealt = jaccard.dealt_blocks(meeting, PERCENT)
+        dealt = jaccard.dealt_blocks(meeting, PERCENT, "root")
         store.discard(*behind)
         more = store.materialise(_block_links(dealt, members, texts), "more", sweep=True)
         led, united = united, graph.components(united.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))

@@ -12,6 +12,7 @@ import wave
 import zipfile
 import zlib
 from collections import Counter
+from unittest.mock import MagicMock
 
 import duckdb
 import numpy as np
@@ -243,6 +244,42 @@ def test_lines_that_chance_matches_chain_meet_by_buckets(spark, monkeypatch):
     assert sum(dealt) < 16 * len(texts)  # a component of all lines would be copied 40 times
 
 
+def test_lines_of_a_shared_block_meet_in_their_components(monkeypatch):
+    texts = MagicMock()
+    linededup._block_links(MagicMock(), MagicMock(), texts)
+    product = texts.select().dropDuplicates().join().join().groupBy().applyInArrow.call_args.args[0]
+    work, overlaps = [], jaccard.overlaps
+
+    def counted(left, right):
+        work.append(len(left) * len(right))
+        return overlaps(left, right)
+
+    monkeypatch.setattr(jaccard, "overlaps", counted)
+    monkeypatch.setattr(linededup, "_PAIRS", 50, raising=False)
+    rng = random.Random(5)
+    rows = []  # root, group, text
+    for root, size in enumerate([2] * 100 + [7] * 10 + [32, 33, 60]):
+        base = "".join(rng.choices("abcdefghij é", k=60))
+        for _ in range(size):
+            cut = rng.choice([0, 0, 3, 6, 12, 59])
+            rows.append((root, rng.randrange(3) * 1000 + root if size > 3 else len(rows), base[: 60 - cut] + "".join(rng.choices("0123456789", k=cut))))
+    rng.shuffle(rows)
+    rows += rows[:20]  # a line may come from several buckets
+    number = {x: k for k, x in enumerate(dict.fromkeys(rows))}
+    ids = [number[x] for x in rows]
+    table = pa.table({"id": pa.array(ids), "side": pa.array([0] * len(rows), pa.int32()), "text": [x[2] for x in rows], "group": [x[1] for x in rows], "root": [x[0] for x in rows]})
+    found = product(table)
+    sets = {number[x]: {x[2][k : k + 8] for k in range(max(1, len(x[2]) - 7))} for x in rows}
+    of = {number[x]: x for x in rows}
+    same = [(a, b) for a in sets for b in sets if a < b and of[a][0] == of[b][0]]
+    links = [(a, b) for a, b in same if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    joined = [(a, b) for a, b in same if of[a][1] == of[b][1]]
+    given = list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    roots = [dict(zip(*(v.tolist() for v in graph.local_components(*np.array(pairs + joined + [(k, k) for k in sets]).T)), strict=True)) for pairs in (given, links)]
+    assert roots[0] == roots[1] and len(set(roots[0].values())) < len(sets)
+    assert sum(work) < 2 * 60 * 60  # all lines of the block would be more than 400 * 400 pairs
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     texts, ids = ["a\nx", "b\na", "c\na\nb", None, "p\nq", "r\np", "p\nq"], [None, None, None, None, 7, 7, 7]
     rows = [(r.doc_id, *(r.text or "").split("\n"), r.n_dropped) for r in linededup.dedup_lines(frame(spark, texts, ids=ids)).collect()]
